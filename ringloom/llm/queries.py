@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, jaccard, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
