@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -56,6 +57,61 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_PLAIN = scramble(np.arange(1, 257, dtype=np.uint64))
+#: The same with A-Z as a-z.
+_FOLDED = _PLAIN[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _powers:
+        _powers.clear()
+        _powers[size] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, x)])) for x in (_STEP, _BACK))
+    return _powers[size]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts that lie one after another in data (UTF-8 bytes), and
+    the number of words up to the end of each text. ends: where each text ends.
+
+    A word's hash is a polynomial over random codes of its bytes, from sums up to each byte."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    space = _SPACE[data]
+    inner = ~space
+    first = inner.copy()
+    first[1:] &= space[:-1]
+    heads = ends[:-1][ends[:-1] < n]
+    first[heads] = inner[heads]
+    last = inner.copy()
+    last[:-1] &= space[1:] | first[1:]
+    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    up, down = _power(n)
+    total = np.cumsum((_FOLDED if fold else _PLAIN)[data] * up[:n])
+    before = np.where(a > 0, total[a - 1], np.uint64(0))
+    return scramble((total[b] - before) * down[a]), np.searchsorted(a, ends)
+
+
+def text_words(batch: pa.RecordBatch, fold: bool, size: int = 2_000_000):
+    """(first row, [word hashes of each row]) for slices of a batch of about size bytes;
+    null texts have no words."""
+    column = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        lo = offsets[row]
+        h, upto = word_hashes(data[lo : offsets[stop]], offsets[row + 1 : stop + 1] - lo, fold)
+        yield row, np.split(h, upto[:-1])
+        row = stop
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k neighbours, by doubling; empty when there are fewer than k."""
     if len(h) < k or k < 1:
@@ -101,6 +157,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/ringloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
+    # what df shuffled is not needed any more: let Spark find that out now
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._ringloom_path = path
     return out

@@ -1,44 +1,37 @@
 """N-gram Jaccard join: prefix filters under several global token orders.
 
 A document's set holds its distinct word shingles. If two sets' Jaccard index
-is t% or more, they share a token among the first n - ceil(t n / 100) + 1 of
-each, under every global order of tokens. Orders here put shingles of rarer words
-first (by coarse classes, from counts of the common words of the whole corpus)
-and differ in how they permute a class, so everyday shingles come last and
-hardly ever meet by chance.
-
-Under each order, documents that share a prefix token are connected; the
-connected sets of the orders are intersected. Every true pair lies in one such
+is t% or more, they share a token among the first p = n - ceil(t n / 100) + 1 of
+each, under every global order of tokens. So a document with p tokens at the front
+of an order that no other document has is linked with nothing. The orders:
+
+1. Over all documents: tokens of a fixed part of the hash space that only one document
+   has come first. Only that part of the tokens is counted.
+2. and 3. Over the documents left, one for each set: tokens in fewer documents
+   first, ties in two different random orders. Everyday phrases and passages that
+   many documents share come last, where they bring nothing together.
+
+Under each of the last two, documents that share a prefix token are connected, and
+the connected sets of both are intersected. Every true pair lies in one such
 class, so classes can be verified apart from each other, and no pairs are ever
 written: within a class, a breadth-first search compares a document with those
-not reached yet. Copies with the same set are one member of a class. A class
-beyond `block` tokens is split into blocks, each pair of which is one task, and
-the links found are connected at the end.
+not reached yet. A class beyond `block` tokens is split into blocks, each pair
+of which is one task, and the links found are connected at the end.
 
-Order 2 is only built for documents that share a prefix token under order 1.
-
-Nulls: null texts, texts without words, and null ids are linked with nothing
-(rows with a null doc_id give no row). Rows of one doc_id with different texts
-are one document with several sets: it has their links, and the largest size.
+Nulls: null texts and texts without words are linked with nothing; rows with a
+null doc_id give no row. Of several texts of one doc_id, the one with the most
+shingles counts (ties: the larger hash).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, components, cut, drop, gram_hashes, rows, scramble, signed, table, words_of
-
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words of at least this share of all words have a level in the orders.
-HEAVY = 2e-6
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words, with A-Z in lower case and nothing else changed."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+from .common import components, cut, drop, gram_hashes, scramble, signed, table, text_words
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -48,77 +41,37 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(gram_hashes(h, k) if len(h) >= k else gram_hashes(h, len(h)) ^ np.uint64(len(h)))
 
 
-def common_words(docs: DataFrame) -> dict[int, int]:
-    """{word hash: level 1, 2, ...}, by powers of two of a word's share of all words.
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate([np.empty(0, np.uint64), *parts]))))
 
-    A task drops words below HEAVY of its own words: a word at HEAVY or more overall is so
-    in one task at least. There are at most 1 / HEAVY words."""
 
-    def count(batches):
-        total, kept = 0, {}
-        of = Hasher()
-        for (texts,) in rows(batches, "text"):
-            h = np.concatenate([of(lower_words(t)) for t in texts])
-            u, c = np.unique(h, return_counts=True)
-            total += len(h)
-            for w, n in zip(u.tolist(), c.tolist()):
-                kept[w] = kept.get(w, 0) + n
-            if len(kept) > 1_000_000:  # sums that are still below the bound start anew
-                kept = {w: n for w, n in kept.items() if n >= HEAVY * total}
-        kept = {w: n for w, n in kept.items() if n >= max(2, HEAVY * total)}
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([0, *kept], np.uint64).view(np.int64)), pa.array([total, *kept.values()], pa.int64()), pa.array([True] + [False] * len(kept))], ["w", "n", "all"])
+def _first_look(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """doc_id, n, fp (128 bits of the set), tokens: one in `share` of the hash space."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0)
+            for row, parts in text_words(b, True):
+                sets = [shingles(h, k) for h in parts]
+                some = [s[scramble(s) % np.uint64(share) == 0] for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(parts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(some)], ["doc_id", "n", "fp", "tokens"])
 
-    found = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "w long, n long, all boolean"))
-    total = found.where("all").agg(F.sum("n")).first()[0] or 0
-    many = found.where("not all").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HEAVY * total)).collect()
-    drop(found)
-    return {int(np.int64(r.w).view(np.uint64)): 1 + int(np.log2(r.n / (HEAVY * max(total, 1)) + 1)) for r in many}
+    return docs.mapInArrow(run, "doc_id long, n long, fp binary, tokens array<long>")
 
 
-def _prefixes(docs: DataFrame, levels: dict[int, int], k: int, t: int, orders: int) -> DataFrame:
-    """doc_id, n, fp (128 bits of the set), p0..: prefix tokens under each order."""
-    keys = np.array(sorted(levels), np.uint64)
-    level = np.array([levels[int(x)] for x in keys], np.uint64)
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """docs(doc_id, text, fp) -> doc_id, tokens: the whole set, where it is the one of fp."""
 
     def run(batches):
-        import xxhash
-
-        of = Hasher()
-        for ids, texts in rows(batches, "doc_id", "text"):
-            out = []
-            for d, text in zip(ids, texts):
-                h = of(lower_words(text))
-                s = shingles(h, k)
-                n = len(s)
-                if not n:
-                    out.append((d, 0, None, *[[]] * orders))
-                    continue
-                p = n - -(-t * n // 100) + 1
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    lv = np.where(keys[at] == h, level[at], np.uint64(0))
-                else:
-                    lv = np.zeros(len(h), np.uint64)
-                if len(h) >= k:
-                    g = gram_hashes(h, k)
-                    total = sum(lv[i : len(h) - k + 1 + i] for i in range(k))
-                    s, first = np.unique(g, return_index=True)
-                    rank = total[first] // np.uint64(3)
-                else:
-                    rank = np.zeros(1, np.uint64)
-                row = [d, n, xxhash.xxh3_128_digest(s.tobytes())]
-                for j in range(orders):
-                    order = (rank << np.uint64(58)) | (scramble(s ^ np.uint64(0x51ED270B * (j + 1))) >> np.uint64(6))
-                    row.append(signed(s[np.argpartition(order, p - 1)[:p]] if p < n else s))
-                out.append(tuple(row))
-            cols = list(zip(*out))
-            lists = []
-            for c in cols[3:]:
-                ends = np.cumsum([0, *map(len, c)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(x, np.int64) for x in c]))))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), *lists], ["doc_id", "n", "fp", *(f"p{j}" for j in range(orders))])
-
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, " + ", ".join(f"p{j} array<long>" for j in range(orders)))
+        for b in batches:
+            ids, fps = b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("fp")).to_pylist()
+            for row, parts in text_words(b, True):
+                sets = [shingles(h, k) for h in parts]
+                keep = [i for i, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == fps[row + i]]
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(parts)).take(pa.array(keep, pa.int64())), _lists([sets[i] for i in keep])], ["doc_id", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id long, tokens array<long>")
 
 
 def _connected(sets: DataFrame, column: str) -> DataFrame:
@@ -168,57 +121,60 @@ def _search(h: list[np.ndarray], ids: np.ndarray, t: int) -> np.ndarray:
     return group
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, orders: int = 2, block: int = 3_000_000) -> DataFrame:
+def _prefix(n, t: int):
+    return n - F.ceil(n * t / 100).cast("long") + 1
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, block: int = 3_000_000) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id: one row for each non-null
     doc_id, component_id the smallest id reachable over links of Jaccard t% or more between
     sets of k-word shingles. block: tokens that one task holds of a class, twice at most.
     Other columns are not looked at."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(_prefixes(docs, common_words(docs), k, t, orders))
+    look = cut(_first_look(docs, k, max(1, 60 // (100 - t)) if t < 100 else 60))
+    alone = look.select("doc_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    one = look.groupBy("doc_id").agg(F.max(F.struct("n", "fp")).alias("s"), F.count("*").alias("texts")).select("doc_id", "s.n", "s.fp", "texts")
+    near = cut(one.join(alone, "doc_id", "left").select("doc_id", "n", "fp", (F.col("n") > 0).alias("any"), ((F.col("texts") > 1) | (F.coalesce("alone", F.lit(0)) < _prefix(F.col("n"), t))).alias("left")))
+    drop(look)
+    copies = near.where("any").groupBy("fp").agg(F.min("doc_id").alias("b"), F.count("*").alias("c"), F.first("n").alias("n"), F.max("left").alias("left"))
+    copied = near.where("any").select(F.col("doc_id").alias("a"), "fp").join(copies.where("c > 1").select("fp", "b"), "fp").select("a", "b").where("a <> b")
+    chosen = copies.where("left").select(F.col("b").alias("doc_id"), "fp")
+    sets = cut(_sets(docs.join(chosen, "doc_id"), k).dropDuplicates(["doc_id"]))
+    tokens = sets.select("doc_id", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    front = tokens.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    front = front.join(sets.select("doc_id", F.size("tokens").cast("long").alias("n")), "doc_id")
+    length = _prefix(F.col("n"), t) - (F.col("n") - F.size("shared"))
+    orders = {f"p{j}": F.expr(f"transform(slice(array_sort(transform(shared, x -> struct(x.df, xxhash64(x.token, {j}) as h, x.token))), 1, cast(length as int)), x -> x.token)") for j in (0, 1)}
+    front = cut(front.withColumn("length", length).where("length > 0").select("doc_id", *(v.alias(c) for c, v in orders.items())))
     classes = None
-    for j in range(orders):
-        pool = sets.where("n > 0").select("doc_id", f"p{j}")
+    for j in (0, 1):
+        pool = front.select("doc_id", f"p{j}")
         if classes is not None:
-            pool = pool.join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+            pool = pool.join(classes.select("doc_id"), "doc_id", "left_semi")
         found = _connected(pool, f"p{j}").withColumnRenamed("c", f"c{j}")
         classes = found if classes is None else classes.join(found, "doc_id")
-    names = [f"c{j}" for j in range(orders)]
-    # a class's members are sets; copies of one set are links to its smallest id
-    member = cut(sets.where("n > 0").select("doc_id", "n", "fp").distinct().join(classes, "doc_id").groupBy(*names, "fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("n").alias("n")))
-    size = member.groupBy(*names).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-    verify = member.join(size, names).withColumn("blocks", F.ceil(F.col("tokens") / block).cast("int"))
-    spread = F.pmod(F.hash("fp"), F.col("blocks"))
-    verify = verify.withColumn("mine", spread).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    verify = verify.select("a", "fp", *names, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).distinct()
-    texts = docs.join(verify.select(F.col("a").alias("doc_id"), "fp", *names, "i", "j"), "doc_id")
-
-    def hashed(batches):
-        import xxhash
-
-        of = Hasher()
-        for b in batches:
-            keep, out = [], []
-            for r, (text, fp) in enumerate(zip(b.column("text").to_pylist(), b.column("fp").to_pylist())):
-                s = shingles(of(lower_words(text)), k).tobytes()
-                if xxhash.xxh3_128_digest(s) == fp:  # of several texts of one id, the one meant
-                    keep.append(r)
-                    out.append(s)
-            if keep:
-                part = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", *names, "i", "j")] + [pa.array(out, pa.binary())], ["doc_id", *names, "i", "j", "set"])
-
-    def linked(table_: pa.Table) -> pa.Table:
-        ids = table_.column("doc_id").to_numpy()
-        group = _search([np.frombuffer(x, np.uint64) for x in table_.column("set").to_pylist()], ids, t)
-        return pa.table({"a": pa.array(ids), "b": pa.array(group)})
-
-    types = ", ".join(f"{c} long" for c in names)
-    found = texts.mapInArrow(hashed, f"doc_id long, {types}, i int, j int, set binary").groupBy(*names, "i", "j").applyInArrow(linked, "a long, b long")
-    copies = sets.where("n > 0").select(F.col("doc_id").alias("a"), "fp").join(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("z")).where("b <> z").select("fp", "b"), "fp").select("a", "b")
-    links = cut(found.unionByName(copies).where("a <> b").distinct())
+    member = cut(sets.join(classes, "doc_id"))
+    drop(sets, front)
+    size = member.groupBy("c0", "c1").agg(F.count("*").alias("m"), F.sum(F.size("tokens")).alias("all")).where("m > 1").select("c0", "c1", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    verify = member.join(size, ["c0", "c1"]).withColumn("mine", F.pmod(F.hash("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    verify = verify.select("doc_id", "tokens", "c0", "c1", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def linked(class_: pa.Table) -> pa.Table:
+        ids = class_.column("doc_id").to_numpy()
+        sets_ = [np.array(x, np.int64) for c in class_.column("tokens").chunks for x in _split(c)]
+        return pa.table({"a": pa.array(ids), "b": pa.array(_search(sets_, ids, t))})
+
+    found = verify.groupBy("c0", "c1", "i", "j").applyInArrow(linked, "a long, b long")
+    links = cut(found.where("a <> b").unionByName(copied).distinct())
     whole = components(links)
-    sizes = sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    return sizes.join(whole, sizes.doc_id == whole.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    drop(member, links)
+    return near.join(whole, near.doc_id == whole.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _split(c: pa.ListArray) -> list[np.ndarray]:
+    values, offsets = c.values.to_numpy(), c.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, quality
+from . import decontaminate, jaccard, phrases, quality, suffixes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_substring_dedup": phrases.op3_substring_dedup,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
