@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, phrases, quality, suffixes
+from . import decontaminate, jaccard, phrases, pieces, pii, quality, suffixes, urls, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_substring_dedup": phrases.op3_substring_dedup,
+    "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_url_list_join": urls.op6_url_list_join,
+    "op8_token_files": wavelet.op8_token_files,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_list_join": urls.ORACLE}
