@@ -199,3 +199,10 @@ def _block(docs: DataFrame, ids: list[int], items: list[list[bytes]], n: int, co
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id no test item leaked into. The leaks
+    are found first and written; as many as there are leaking documents are joined."""
+    found = cut(contaminated(docs, benchmark).select("doc_id").distinct())
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
