@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, phrases, pieces, pii, quality, suffixes, urls, wavelet
+from . import backoff, decontaminate, jaccard, phrases, pieces, pii, quality, suffixes, urls, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_url_list_join": urls.op6_url_list_join,
+    "op7_stupid_backoff": backoff.op7_stupid_backoff,
     "op8_token_files": wavelet.op8_token_files,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
