@@ -62,6 +62,8 @@ RANKED = RINGS + ",\nsized_ as (select ring_id, count(*) as size from rings_ gro
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles and floats rounded, whole numbers as long, so that engines can be compared."""
-    cast = {"double": lambda c: F.round(F.col(c), digits), "float": lambda c: F.round(F.col(c).cast("double"), digits), "int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long")}
+    """Doubles and floats rounded, whole numbers as long, so that engines can be compared. What
+    is added keeps values halfway between two steps from going either way."""
+    up = 1e-9 if digits == 6 else 0.0
+    cast = {"double": lambda c: F.round(F.col(c) + up, digits), "float": lambda c: F.round(F.col(c).cast("double") + up, digits), "int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long")}
     return df.select(*((cast[k](c) if k in cast else F.col(c)).alias(c) for c, k in df.dtypes))

@@ -29,7 +29,7 @@ def node_profile(spark, sf_dir):
     return rounded(adapter.accounts(spark, sf_dir).groupBy("label").agg(F.count("*").alias("accounts"), F.bool_and(F.col("score").between(0, 1)).alias("scores_ok")))
 
 
-@query(EDGES + "select n_relations::bigint as n_relations, count(*) as edges, count(*) filter (where src = dst) as self_loops, count(distinct (least(src, dst), greatest(src, dst))) as pairs, round(min(weight::double), 6) as lightest, round(max(weight::double), 6) as heaviest from edges_ group by 1")
+@query(EDGES + "select n_relations::bigint as n_relations, count(*) as edges, count(*) filter (where src = dst) as self_loops, count(distinct (least(src, dst), greatest(src, dst))) as pairs, round(min(weight::double) + 1e-9, 6) as lightest, round(max(weight::double) + 1e-9, 6) as heaviest from edges_ group by 1")
 def edge_profile(spark, sf_dir):
     """Edges by the number of relations behind them."""
     e = edges(spark, sf_dir)
@@ -54,25 +54,25 @@ def entity_sizes(spark, sf_dir):
     return graph.entity_sizes(graph.members(adapter.orders(spark, sf_dir)))
 
 
-@query(EDGES + "select src, dst, round(weight::double, 6) as weight, n_relations::bigint as n_relations, relation_mask::bigint as relation_mask, min_entity_size from edges_")
+@query(EDGES + "select src, dst, round(weight::double + 1e-9, 6) as weight, n_relations::bigint as n_relations, relation_mask::bigint as relation_mask, min_entity_size from edges_")
 def account_edges(spark, sf_dir):
     """The account graph: capped entity self-join, rarity weights, one row per pair."""
     return rounded(edges(spark, sf_dir))
 
 
-@query(EDGES + "select node, count(*) as degree, round(sum(weight::double), 6) as weighted_degree from ways_ group by 1")
+@query(EDGES + "select node, count(*) as degree, round(sum(weight::double) + 1e-9, 6) as weighted_degree from ways_ group by 1")
 def weighted_degrees(spark, sf_dir):
     """Degree and weighted degree of each account."""
     return rounded(graph.both_ways(edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("degree"), F.sum(F.col("weight").cast("double")).alias("weighted_degree")))
 
 
-@query(EDGES + "select e.src, e.dst, round(weight::double, 6) as weight from edges_ e join accounts_ a on a.user_id = e.src and a.score > 0.5 join accounts_ b on b.user_id = e.dst and b.score > 0.5")
+@query(EDGES + "select e.src, e.dst, round(weight::double + 1e-9, 6) as weight from edges_ e join accounts_ a on a.user_id = e.src and a.score > 0.5 join accounts_ b on b.user_id = e.dst and b.score > 0.5")
 def pruned_edges(spark, sf_dir):
     """Edges whose ends both score above tau."""
     return rounded(graph.prune(edges(spark, sf_dir), adapter.accounts(spark, sf_dir), 0.5).select("src", "dst", "weight"))
 
 
-@query(EDGES + "select node as user_id, count(*) as degree, round(sum(weight::double), 6) as weighted_degree from ways_ join accounts_ a on a.user_id = node and a.score > 0.5 join accounts_ b on b.user_id = nbr and b.score > 0.5 group by 1 order by sum(weight::double) desc, user_id limit 20")
+@query(EDGES + "select node as user_id, count(*) as degree, round(sum(weight::double) + 1e-9, 6) as weighted_degree from ways_ join accounts_ a on a.user_id = node and a.score > 0.5 join accounts_ b on b.user_id = nbr and b.score > 0.5 group by 1 order by sum(weight::double) desc, user_id limit 20")
 def top_accounts(spark, sf_dir):
     """The flagship: pruned graph, top 20 accounts by weighted degree."""
     e = graph.prune(edges(spark, sf_dir), adapter.accounts(spark, sf_dir), 0.5)
@@ -88,7 +88,7 @@ def day_windows(spark, sf_dir):
 
 @query(
     EDGES.replace("from orders_ union", "from late_ union").replace("from orders_)", "from late_)").replace("long_ as (", "days_ as (select day_ordinal, row_number() over (order by day_ordinal) as k, count(*) over () as n from (select distinct day_ordinal from orders_)),\nlate_ as (select o.* from orders_ o join days_ using (day_ordinal) where k > n // 2),\nlong_ as (")
-    + "select src, dst, round(weight::double, 6) as weight, relation_mask::bigint as relation_mask from edges_"
+    + "select src, dst, round(weight::double + 1e-9, 6) as weight, relation_mask::bigint as relation_mask from edges_"
 )
 def late_edges(spark, sf_dir):
     """The graph of the late half."""
@@ -102,8 +102,8 @@ def late_edges(spark, sf_dir):
     + """, per as (select user_id, day_ordinal, count(*) as k from orders_ group by all),
 days as (select user_id, count(*) as active_days, max(k) as top, min(day_ordinal) as lo, max(day_ordinal) as hi from per group by 1),
 base as (select user_id, count(*) as n, count(distinct sku_id) as skus, count(r6) as promos, count(distinct r6) as d6, count(distinct r7) as d7, count(distinct r1) as d1, count(distinct r3) as d3, count(distinct r8) as d8 from orders_ group by 1)
-select user_id, n as n_orders, skus as n_distinct_sku, round(1 - skus / n, 6) as sku_repeat_rate, promos as n_promo_orders, round(promos / n, 6) as promo_order_rate, d6 as n_distinct_promo, d7 as n_distinct_coupon, d1 as n_distinct_location, d3 as n_distinct_delivery, d8 as n_distinct_stimulation,
- active_days, top as max_orders_in_day, round(n / active_days, 6) as orders_per_active_day, round(top / n, 6) as day_concentration, hi - lo + 1 - active_days as longest_gap_days from base join days using (user_id)"""
+select user_id, n as n_orders, skus as n_distinct_sku, round(1 - skus / n + 1e-9, 6) as sku_repeat_rate, promos as n_promo_orders, round(promos / n + 1e-9, 6) as promo_order_rate, d6 as n_distinct_promo, d7 as n_distinct_coupon, d1 as n_distinct_location, d3 as n_distinct_delivery, d8 as n_distinct_stimulation,
+ active_days, top as max_orders_in_day, round(n / active_days + 1e-9, 6) as orders_per_active_day, round(top / n + 1e-9, 6) as day_concentration, hi - lo + 1 - active_days as longest_gap_days from base join days using (user_id)"""
 )
 def order_features(spark, sf_dir):
     """The 15 order features."""
@@ -114,8 +114,8 @@ def order_features(spark, sf_dir):
     EDGES
     + """, one as (select node, count(*) as degree, sum(weight::double) as wd, avg(weight::double) as wm, max(weight::double) as wx, avg(n_relations) as rm, max(n_relations) as rx, min(min_entity_size) as es, avg((min_entity_size <= 10)::int) as rare from ways_ group by 1),
 two as (select w.node, sum(o.degree)::bigint as s, avg(o.degree) as m, max(o.degree) as x from ways_ w join one o on o.node = w.nbr group by 1)
-select user_id, coalesce(degree, 0) as degree, round(coalesce(wd, 0), 6) as weighted_degree, round(coalesce(wm, 0), 6) as mean_edge_weight, round(coalesce(wx, 0), 6) as max_edge_weight, round(coalesce(rm, 0), 6) as mean_relations_per_edge, coalesce(rx, 0)::bigint as max_relations_per_edge, coalesce(es, 0) as min_entity_size, round(coalesce(rare, 0), 6) as rare_edge_fraction,
- coalesce(s, 0)::bigint as two_hop_size, round(coalesce(m, 0), 6) as neighbour_degree_mean, coalesce(x, 0) as neighbour_degree_max from accounts_ left join (one join two using (node)) on node = user_id"""
+select user_id, coalesce(degree, 0) as degree, round(coalesce(wd, 0) + 1e-9, 6) as weighted_degree, round(coalesce(wm, 0) + 1e-9, 6) as mean_edge_weight, round(coalesce(wx, 0) + 1e-9, 6) as max_edge_weight, round(coalesce(rm, 0) + 1e-9, 6) as mean_relations_per_edge, coalesce(rx, 0)::bigint as max_relations_per_edge, coalesce(es, 0) as min_entity_size, round(coalesce(rare, 0) + 1e-9, 6) as rare_edge_fraction,
+ coalesce(s, 0)::bigint as two_hop_size, round(coalesce(m, 0) + 1e-9, 6) as neighbour_degree_mean, coalesce(x, 0) as neighbour_degree_max from accounts_ left join (one join two using (node)) on node = user_id"""
 )
 def graph_features(spark, sf_dir):
     """Graph features, core numbers aside."""
@@ -132,7 +132,7 @@ def relation_degrees(spark, sf_dir):
     EDGES
     + """, per as (select user_id, day_ordinal, count(*) as k from orders_ group by all), days as (select user_id, count(*) as active_days, max(k) as top from per group by 1),
 base as (select user_id, count(*) as n, count(distinct sku_id) as skus, count(r6) as promos from orders_ group by 1), b as (select * from base join days using (user_id))
-select a.user_id, round(coalesce(avg(n), 0), 6) as nbr_mean_n_orders, coalesce(max(n), 0) as nbr_max_n_orders, round(coalesce(avg(promos / n), 0), 6) as nbr_mean_promo_order_rate, round(coalesce(avg(top / n), 0), 6) as nbr_mean_day_concentration, round(coalesce(avg(1 - skus / n), 0), 6) as nbr_mean_sku_repeat_rate, round(coalesce(avg((promos > 0)::int), 0), 6) as nbr_share_promo, round(coalesce(avg(active_days), 0), 6) as nbr_mean_active_days
+select a.user_id, round(coalesce(avg(n), 0) + 1e-9, 6) as nbr_mean_n_orders, coalesce(max(n), 0) as nbr_max_n_orders, round(coalesce(avg(promos / n), 0) + 1e-9, 6) as nbr_mean_promo_order_rate, round(coalesce(avg(top / n), 0) + 1e-9, 6) as nbr_mean_day_concentration, round(coalesce(avg(1 - skus / n), 0) + 1e-9, 6) as nbr_mean_sku_repeat_rate, round(coalesce(avg((promos > 0)::int), 0) + 1e-9, 6) as nbr_share_promo, round(coalesce(avg(active_days), 0) + 1e-9, 6) as nbr_mean_active_days
 from accounts_ a left join ways_ w on w.node = a.user_id left join b on b.user_id = w.nbr group by 1"""
 )
 def neighbour_features(spark, sf_dir):
@@ -182,7 +182,7 @@ def propagated_beliefs(spark, sf_dir):
     return rounded(iterate.propagate(edges(spark, sf_dir), prior, 0.001, rounds=3), 9)
 
 
-@query(MEMBERS + "select rel, count(*) as incidences, round(sum(1 / ln(2.0::double + size)), 6) as weight from capped_ where rel in ('r6', 'r8') group by 1")
+@query(MEMBERS + "select rel, count(*) as incidences, round(sum(1 / ln(2.0::double + size)) + 1e-9, 6) as weight from capped_ where rel in ('r6', 'r8') group by 1")
 def bipartite_incidence(spark, sf_dir):
     """Account-entity edges of the offer relations."""
     b = iterate.bipartite(graph.capped(graph.members(adapter.orders(spark, sf_dir), ("r6", "r8"))))
@@ -191,7 +191,7 @@ def bipartite_incidence(spark, sf_dir):
 
 _VISITS = BASE + ", v as (select sku_id as entity, user_id, min(r1 % 1000) as bin from orders_ group by 1, 2), z as (select entity, count(*) as size from v group by 1 having count(*) between 2 and 100), f as (select * from v join z using (entity))"
 _EVENTS = "with v as (select event_type || '|' || json_extract_string(props, '$.k') as entity, user_id, min(epoch(ts)::bigint // {0}) as bin from events group by 1, 2), z as (select entity, count(*) as size from v group by 1 having count(*) between 2 and 100), f as (select * from v join z using (entity))"
-_BURST = ", n as (select entity, size, bin, count(*) as n from f group by all), t as (select *, sum(n) over (partition by entity order by bin range between current row and 1 following) as two from n) select entity, size, round(max(n) / size, 6) as burst1, round(max(two) / size, 6) as burst2 from t group by entity, size"
+_BURST = ", n as (select entity, size, bin, count(*) as n from f group by all), t as (select *, sum(n) over (partition by entity order by bin range between current row and 1 following) as two from n) select entity, size, round(max(n) / size + 1e-9, 6) as burst1, round(max(two) / size + 1e-9, 6) as burst2 from t group by entity, size"
 
 
 def _arrivals(spark, sf_dir):
@@ -203,7 +203,7 @@ def _event_arrivals(spark, sf_dir, width: int):
     return bursts.first_arrivals(adapter.events(spark, sf_dir).select("entity", "user_id", F.expr(f"seconds div {width}").alias("bin")))
 
 
-@query(_VISITS + ", g as (select unnest(range(0, 100)) as bin), n as (select bin, count(*) as n from f group by 1) select bin::bigint as bin, round(case when sum(coalesce(n, 0)) over () > 0 then coalesce(n, 0) / sum(coalesce(n, 0)) over () else 0.01 end, 6) as share from g left join n using (bin)")
+@query(_VISITS + ", g as (select unnest(range(0, 100)) as bin), n as (select bin, count(*) as n from f group by 1) select bin::bigint as bin, round(case when sum(coalesce(n, 0)) over () > 0 then coalesce(n, 0) / sum(coalesce(n, 0)) over () else 0.01 end + 1e-9, 6) as share from g left join n using (bin)")
 def arrival_shares(spark, sf_dir):
     """Share of first arrivals by month."""
     return rounded(bursts.daily_share(_arrivals(spark, sf_dir), 0, 99))
@@ -258,7 +258,7 @@ def burst_quartiles(spark, sf_dir):
     EDGES
     + """, comp as (select user_id, user_id % 40 as component from accounts_ where label = 1), r as (select *, row_number() over (partition by component order by md5('20260902:' || user_id::varchar), user_id) as r, count(*) over (partition by component) as n from comp),
 c as (select user_id, component, (r - 1) % ceil(n / 5)::bigint as cell from r)
-select src, dst, round(weight::double, 6) as weight from edges_ left join c a on a.user_id = src left join c b on b.user_id = dst where a.component is null or b.component is null or (a.component = b.component and a.cell = b.cell)"""
+select src, dst, round(weight::double + 1e-9, 6) as weight from edges_ left join c a on a.user_id = src left join c b on b.user_id = dst where a.component is null or b.component is null or (a.component = b.component and a.cell = b.cell)"""
 )
 def fragmented_edges(spark, sf_dir):
     """Edges left when fraud groups split into cells of five."""
@@ -270,8 +270,8 @@ def fragmented_edges(spark, sf_dir):
     EDGES
     + """, top as (select max(user_id) + 1 as n from accounts_), old as (select user_id, row_number() over (order by user_id) - 1 as k from accounts_ where label = 1 and score <= 0.5), clone as (select user_id, n + k as new_id from old, top),
 w as (select new_id, nbr, node, weight from ways_ join clone on node = user_id)
-select src, dst, round(weight::double, 6) as weight from edges_ union all select least(new_id, nbr), greatest(new_id, nbr), round(weight::double, 6) from w
-union all select user_id, new_id, round(coalesce(m, 0.5)::float::double, 6) from clone left join (select node, quantile_cont(weight::double, 0.5) as m from w group by 1) on node = user_id"""
+select src, dst, round(weight::double + 1e-9, 6) as weight from edges_ union all select least(new_id, nbr), greatest(new_id, nbr), round(weight::double + 1e-9, 6) from w
+union all select user_id, new_id, round(coalesce(m, 0.5)::float::double + 1e-9, 6) from clone left join (select node, quantile_cont(weight::double, 0.5) as m from w group by 1) on node = user_id"""
 )
 def duplicated_edges(spark, sf_dir):
     """The graph with a clone of each undetected fraud account."""
@@ -316,7 +316,7 @@ def anchor_balls(spark, sf_dir):
     return rounded(graph.ball(edges(spark, sf_dir), anchors, a.select("user_id"), cap=10_000_000))
 
 
-@query(EDGES + ", c as (select user_id, label, score, row_number() over (order by score desc, user_id) as k from accounts_) select c.user_id, round(score, 6) as score, case label when 1 then 'fraud' when 0 then 'normal' else 'unknown' end as label, count(node) as neighbours, count(*) filter (where min_entity_size <= 10 and node is not null) as rare_links from c left join ways_ on node = c.user_id group by all")
+@query(EDGES + ", c as (select user_id, label, score, row_number() over (order by score desc, user_id) as k from accounts_) select c.user_id, round(score + 1e-9, 6) as score, case label when 1 then 'fraud' when 0 then 'normal' else 'unknown' end as label, count(node) as neighbours, count(*) filter (where min_entity_size <= 10 and node is not null) as rare_links from c left join ways_ on node = c.user_id group by all")
 def account_cards(spark, sf_dir):
     """What a lookup of an account shows."""
     w = graph.both_ways(edges(spark, sf_dir)).groupBy(F.col("node").alias("user_id")).agg(F.count("*").alias("neighbours"), F.count_if(F.col("min_entity_size") <= 10).alias("rare_links"))

@@ -38,43 +38,43 @@ def label_subsets(spark, sf_dir):
 _CURVE = BASE + ", g as (select score, sum(label) as p, count(*) as n from accounts_ where label >= 0 group by 1), c as (select score, sum(p) over w as tp, sum(n - p) over w as fp, sum(p) over () as a from g window w as (order by score desc)), c2 as (select score, tp, fp, tp / (tp + fp) as precision, tp / a as recall from c)"
 
 
-@query(_CURVE + " select round(score, 6) as score, tp::bigint as tp, fp::bigint as fp, round(precision, 6) as precision, round(recall, 6) as recall from c2")
+@query(_CURVE + " select round(score + 1e-9, 6) as score, tp::bigint as tp, fp::bigint as fp, round(precision + 1e-9, 6) as precision, round(recall + 1e-9, 6) as recall from c2")
 def precision_recall_curve(spark, sf_dir):
     """The precision-recall curve of the score."""
     return rounded(metrics.curve(_accounts(spark, sf_dir)))
 
 
-@query(_CURVE + ", d as (select *, recall - coalesce(lag(recall) over (order by score desc), 0) as step from c2) select round(sum(step * precision), 6) as average_precision, max(tp)::bigint as positives, max(fp)::bigint as negatives from d")
+@query(_CURVE + ", d as (select *, recall - coalesce(lag(recall) over (order by score desc), 0) as step from c2) select round(sum(step * precision) + 1e-9, 6) as average_precision, max(tp)::bigint as positives, max(fp)::bigint as negatives from d")
 def average_precision(spark, sf_dir):
     """Average precision of the score."""
     return rounded(metrics.average_precision(_accounts(spark, sf_dir)))
 
 
-@query(BASE + ", c as (select count(*) filter (where score >= 0.5 and label = 1) as tp, count(*) filter (where score >= 0.5 and label = 0) as fp, count(*) filter (where score < 0.5 and label = 1) as fn, count(*) filter (where score < 0.5 and label = 0) as tn from accounts_ where label >= 0) select tp, fp, fn, tn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) as f1, round(fp / tp, 6) as fp_per_tp from c")
+@query(BASE + ", c as (select count(*) filter (where score >= 0.5 and label = 1) as tp, count(*) filter (where score >= 0.5 and label = 0) as fp, count(*) filter (where score < 0.5 and label = 1) as fn, count(*) filter (where score < 0.5 and label = 0) as tn from accounts_ where label >= 0) select tp, fp, fn, tn, round(tp / (tp + fp) + 1e-9, 6) as precision, round(tp / (tp + fn) + 1e-9, 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) + 1e-9, 6) as f1, round(fp / tp + 1e-9, 6) as fp_per_tp from c")
 def confusion(spark, sf_dir):
     """Confusion metrics at 0.5."""
     return rounded(metrics.binary_metrics(_accounts(spark, sf_dir), 0.5))
 
 
-@query(_CURVE + " select t as target, round(min(score), 6) as threshold from (select unnest([0.05, 0.12, 0.8]::double[]) as t) left join c2 on precision >= t group by 1")
+@query(_CURVE + " select t as target, round(min(score) + 1e-9, 6) as threshold from (select unnest([0.05, 0.12, 0.8]::double[]) as t) left join c2 on precision >= t group by 1")
 def operating_points(spark, sf_dir):
     """The lowest thresholds that reach target precisions."""
     return rounded(metrics.operating_points(_accounts(spark, sf_dir), (0.05, 0.12, 0.8)))
 
 
-@query(_CURVE + ", f as (select score, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 9) as f1 from c2) select round(score, 6) as threshold, round(f1, 6) as f1 from f order by f.f1 desc, score limit 1")
+@query(_CURVE + ", f as (select score, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 9) as f1 from c2) select round(score + 1e-9, 6) as threshold, round(f1 + 1e-9, 6) as f1 from f order by f.f1 desc, score limit 1")
 def best_f1(spark, sf_dir):
     """The threshold of the best F1."""
     return rounded(metrics.best_f1(_accounts(spark, sf_dir)))
 
 
-@query(BASE + " select round(min(score), 6) as threshold from (select score from accounts_ order by score desc limit 100)")
+@query(BASE + " select round(min(score) + 1e-9, 6) as threshold from (select score from accounts_ order by score desc limit 100)")
 def flag_threshold(spark, sf_dir):
     """The threshold that flags a budget of 100."""
     return rounded(metrics.flag_threshold(_accounts(spark, sf_dir), 100))
 
 
-@query(BASE + ", r as (select *, row_number() over (order by score desc, user_id) as r from accounts_) select k::bigint as k, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0), 6) as precision from r, (select unnest([100, 500, 1000]) as k) where r <= k group by 1")
+@query(BASE + ", r as (select *, row_number() over (order by score desc, user_id) as r from accounts_) select k::bigint as k, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0) + 1e-9, 6) as precision from r, (select unnest([100, 500, 1000]) as k) where r <= k group by 1")
 def precision_at_k(spark, sf_dir):
     """Precision of the top k accounts."""
     return rounded(metrics.precision_at_k(_accounts(spark, sf_dir), (100, 500, 1000)))
@@ -82,21 +82,21 @@ def precision_at_k(spark, sf_dir):
 
 @query(
     EDGES
-    + ", bits as (select unnest(['r1', 'r3', 'r6', 'r7', 'r8']) as rel, unnest([0, 1, 2, 3, 4]) as bit), m as (select rel, a.label::double as l1, b.label::double as l2 from edges_ join accounts_ a on a.user_id = src and a.label >= 0 join accounts_ b on b.user_id = dst and b.label >= 0 join bits on (relation_mask >> bit) & 1 = 1), s as (select rel, count(*) as pairs, avg(l1 * l2) as ff, avg((l1 + l2) / 2) as p from m group by 1), l as (select bits.rel, coalesce(pairs, 0) as pairs, ff, p, case when pairs >= 500 and p > 0 then ff / (p * p) end as lift from bits left join s on s.rel = bits.rel) select rel, pairs, round(ff, 6) as ff_rate, round(p, 6) as p, round(lift, 6) as lift, round(coalesce(lift / avg(lift) over (), 1), 6) as alpha from l"
+    + ", bits as (select unnest(['r1', 'r3', 'r6', 'r7', 'r8']) as rel, unnest([0, 1, 2, 3, 4]) as bit), m as (select rel, a.label::double as l1, b.label::double as l2 from edges_ join accounts_ a on a.user_id = src and a.label >= 0 join accounts_ b on b.user_id = dst and b.label >= 0 join bits on (relation_mask >> bit) & 1 = 1), s as (select rel, count(*) as pairs, avg(l1 * l2) as ff, avg((l1 + l2) / 2) as p from m group by 1), l as (select bits.rel, coalesce(pairs, 0) as pairs, ff, p, case when pairs >= 500 and p > 0 then ff / (p * p) end as lift from bits left join s on s.rel = bits.rel) select rel, pairs, round(ff + 1e-9, 6) as ff_rate, round(p + 1e-9, 6) as p, round(lift + 1e-9, 6) as lift, round(coalesce(lift / avg(lift) over (), 1) + 1e-9, 6) as alpha from l"
 )
 def relation_lift(spark, sf_dir):
     """How much oftener than by chance both ends of an edge are fraud, by relation."""
     return rounded(metrics.relation_lift(edges(spark, sf_dir), _accounts(spark, sf_dir).where("label >= 0")))
 
 
-@query(BASE + " select user_id, round(score * (1 + context), 6) as boosted, round(score + 1e-6::double * context, 9) as tie_break from (select user_id, score, (user_id % 7) / 7.0::double as context from accounts_)")
+@query(BASE + " select user_id, round(score * (1 + context) + 1e-9, 6) as boosted, round(score + 1e-6::double * context, 9) as tie_break from (select user_id, score, (user_id % 7) / 7.0::double as context from accounts_)")
 def blended_scores(spark, sf_dir):
     """Scores blended with a context share."""
     b = rings.blend(_accounts(spark, sf_dir).withColumn("context", (F.col("user_id") % 7) / 7.0))
-    return b.select("user_id", F.round("boosted", 6).alias("boosted"), F.round("tie_break", 9).alias("tie_break"))
+    return b.select("user_id", F.round(F.col("boosted") + 1e-9, 6).alias("boosted"), F.round("tie_break", 9).alias("tie_break"))
 
 
-_COUNTS = ", j as (select ring_id, user_id, label from rings_ left join accounts_ using (user_id)) select ring_id, count(*) as size, count(*) filter (where label = 1) as fraud, count(*) filter (where label = 0) as normal, count(*) filter (where label < 0) as unknown, round(count(*) filter (where label = 1) / nullif(count(*) filter (where label >= 0), 0), 6) as precision from j group by 1"
+_COUNTS = ", j as (select ring_id, user_id, label from rings_ left join accounts_ using (user_id)) select ring_id, count(*) as size, count(*) filter (where label = 1) as fraud, count(*) filter (where label = 0) as normal, count(*) filter (where label < 0) as unknown, round(count(*) filter (where label = 1) / nullif(count(*) filter (where label >= 0), 0) + 1e-9, 6) as precision from j group by 1"
 
 
 @query(RINGS + _COUNTS)
@@ -109,7 +109,7 @@ def ring_label_counts(spark, sf_dir):
     RINGS
     + """, v as (select user_id, count(*) * 400.0::double as value from orders_ group by 1), m as (select distinct user_id from rings_), a as (select count(*) as accounts, count(*) filter (where label = 1) as fraud, count(*) filter (where label = 0) as normal, count(*) filter (where label < 0) as unknown, sum(case when label = 0 then coalesce(value, 0) else 0 end) as fp_cost from m left join accounts_ using (user_id) left join v using (user_id)),
 z as (select count(*) as rings, min(n) as size_min, quantile_cont(n, 0.5) as size_median, max(n) as size_max from (select ring_id, count(*) as n from rings_ group by 1))
-select rings, accounts, fraud, normal, unknown, round(fraud / (fraud + normal), 6) as precision, round(fraud / (select count(*) from accounts_ where label = 1), 6) as recall, round(normal / fraud, 6) as normal_per_fraud, round(fp_cost, 6) as fp_cost, size_min, size_median, size_max, fraud + normal < 30 as small_sample from a, z"""
+select rings, accounts, fraud, normal, unknown, round(fraud / (fraud + normal) + 1e-9, 6) as precision, round(fraud / (select count(*) from accounts_ where label = 1) + 1e-9, 6) as recall, round(normal / fraud + 1e-9, 6) as normal_per_fraud, round(fp_cost + 1e-9, 6) as fp_cost, size_min, size_median, size_max, fraud + normal < 30 as small_sample from a, z"""
 )
 def ring_evaluation(spark, sf_dir):
     """All rings against labels and values."""
@@ -119,7 +119,7 @@ def ring_evaluation(spark, sf_dir):
 @query(
     EDGE_RINGS
     + """, n as (select ring_id, count(*) as size, sum(score) as mass from rings_ join accounts_ using (user_id) group by 1), w as (select a.ring_id, sum(weight::double) as weight from edges_ join rings_ a on a.user_id = src join rings_ b on b.user_id = dst and b.ring_id = a.ring_id group by 1)
-select ring_id, size, round(mass, 6) as score_mass, round(coalesce(weight, 0), 6) as internal_weight, round((coalesce(weight, 0) + 5 * mass) / size, 6) as density from n left join w using (ring_id)"""
+select ring_id, size, round(mass + 1e-9, 6) as score_mass, round(coalesce(weight, 0) + 1e-9, 6) as internal_weight, round((coalesce(weight, 0) + 5 * mass) / size + 1e-9, 6) as density from n left join w using (ring_id)"""
 )
 def ring_totals(spark, sf_dir):
     """Internal weight, score mass and density of each ring."""
@@ -129,7 +129,7 @@ def ring_totals(spark, sf_dir):
 _CLUSTERS = ", cl as (select entity, count(*) as size, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 0) as normal from members_ join accounts_ using (user_id) where rel = 'r1' group by 1 having count(*) between 8 and 100 and count(*) filter (where label >= 0) >= 3), clusters_ as (select entity, size, labelled, normal, normal / labelled as normal_share from cl where normal / labelled >= 0.8)"
 
 
-@query(MEMBERS + _CLUSTERS + " select entity, size, labelled, normal, round(normal_share, 6) as normal_share from clusters_")
+@query(MEMBERS + _CLUSTERS + " select entity, size, labelled, normal, round(normal_share + 1e-9, 6) as normal_share from clusters_")
 def hostel_clusters(spark, sf_dir):
     """Groups at one place that are mostly normal."""
     return rounded(rings.colocated_clusters(graph.members(adapter.orders(spark, sf_dir), ("r1",)), _accounts(spark, sf_dir), "r1", least=8))
@@ -141,7 +141,7 @@ def hostel_clusters(spark, sf_dir):
     + """, last_ as (select user_id, max(entity) as entity from members_ join clusters_ using (entity) where rel = 'r1' group by 1), inr as (select distinct user_id, 1.0::double as k from rings_ where ring_id % 5 = 0),
 p as (select entity, avg(coalesce(k, 0)) as share_in_ring, avg(score) as mean_score, max(score) as max_score from members_ join clusters_ using (entity) join accounts_ using (user_id) left join inr using (user_id) where rel = 'r1' group by 1),
 e as (select a.entity, count(*) as n, bit_count(bit_or(relation_mask)) as d from edges_ join last_ a on a.user_id = src join last_ b on b.user_id = dst and b.entity = a.entity group by 1)
-select entity, size, labelled, normal, round(normal_share, 6) as normal_share, round(share_in_ring, 6) as share_in_ring, round(mean_score, 6) as mean_score, round(max_score, 6) as max_score, coalesce(n, 0) as internal_edges, coalesce(d, 0)::bigint as relation_diversity from clusters_ join p using (entity) left join e using (entity)"""
+select entity, size, labelled, normal, round(normal_share + 1e-9, 6) as normal_share, round(share_in_ring + 1e-9, 6) as share_in_ring, round(mean_score + 1e-9, 6) as mean_score, round(max_score + 1e-9, 6) as max_score, coalesce(n, 0) as internal_edges, coalesce(d, 0)::bigint as relation_diversity from clusters_ join p using (entity) left join e using (entity)"""
 )
 def hostel_test(spark, sf_dir):
     """How flagged hostels are, and by what they are linked."""
@@ -155,7 +155,7 @@ def hostel_test(spark, sf_dir):
     RINGS
     + """, act as (select count(distinct user_id) as a from orders_), n as (select ring_id, count(*) as n from rings_ group by 1), g as (select ring_id, rel, entity, count(*) as users from rings_ join members_ using (user_id) group by all),
 s as (select ring_id, rel, entity, users, users / n as coverage, size as global_users, round((users / n) / ln(2.0::double + size), 9) as strength from g join n using (ring_id) join sizes_ using (rel, entity), act where users / n >= 0.15 and users >= 2 and size <= 0.05::double * a)
-select ring_id, rel, entity, users, round(coverage, 6) as coverage, global_users, round(strength, 6) as strength, place from (select *, row_number() over (partition by ring_id order by strength desc, rel, entity) as place from s) where place <= 12"""
+select ring_id, rel, entity, users, round(coverage + 1e-9, 6) as coverage, global_users, round(strength + 1e-9, 6) as strength, place from (select *, row_number() over (partition by ring_id order by strength desc, rel, entity) as place from s) where place <= 12"""
 )
 def ring_evidence(spark, sf_dir):
     """What a ring's members share and few others do."""
@@ -164,7 +164,7 @@ def ring_evidence(spark, sf_dir):
     return rounded(rings.evidence(common.rings(spark, sf_dir), o, active))
 
 
-@query(RINGS + ", d as (select ring_id, day_ordinal, count(*) as k, count(r6) as p from rings_ join orders_ using (user_id) group by all) select ring_id, sum(k)::bigint as n_orders, sum(p)::bigint as n_promo_orders, round(max(k) / sum(k), 6) as top_day_share, sum(p) * 100.0::double as subsidy, sum(k) * 400.0::double as order_value from d group by 1")
+@query(RINGS + ", d as (select ring_id, day_ordinal, count(*) as k, count(r6) as p from rings_ join orders_ using (user_id) group by all) select ring_id, sum(k)::bigint as n_orders, sum(p)::bigint as n_promo_orders, round(max(k) / sum(k) + 1e-9, 6) as top_day_share, sum(p) * 100.0::double as subsidy, sum(k) * 400.0::double as order_value from d group by 1")
 def ring_orders(spark, sf_dir):
     """Orders, promotions and their money of each ring."""
     return rounded(rings.ring_orders(common.rings(spark, sf_dir), adapter.orders(spark, sf_dir)))
@@ -183,7 +183,7 @@ def promo_by_day(spark, sf_dir):
     + """, b as (select user_id, count(*) as n_orders, count(r6) as n_promo, count(distinct day_ordinal) as days from orders_ group by 1),
 s as (select ring_id, count(*) as size, avg(score) as m, quantile_cont(score, 0.5) as md, min(score) as mn, quantile_cont(score, 0.1) as p10, stddev_pop(score) as sd, avg(n_orders) as om, avg(days) as am, sum(n_promo) / greatest(sum(n_orders), 1) as ps from rings_ join accounts_ using (user_id) join b using (user_id) group by 1),
 e as (select a.ring_id, count(*) as pairs, avg(weight::double) as wm, max(weight::double) as wx, avg((min_entity_size <= 10)::int) as rs, avg(n_relations) as rm, bit_count(bit_or(relation_mask)) as rd from edges_ join rings_ a on a.user_id = src join rings_ b on b.user_id = dst and a.ring_id = b.ring_id group by 1)
-select ring_id, size, round(m, 6) as score_mean, round(md, 6) as score_median, round(mn, 6) as score_min, round(p10, 6) as score_p10, round(sd, 6) as score_std, round(om, 6) as orders_mean, round(am, 6) as active_days_mean, round(ps, 6) as promo_share, coalesce(pairs, 0) as pairs, round(coalesce(wm, 0), 6) as weight_mean, round(coalesce(wx, 0), 6) as weight_max, round(coalesce(rs, 0), 6) as rare_share, round(coalesce(rm, 0), 6) as relations_mean, coalesce(rd, 0)::bigint as relation_diversity, round(2 * coalesce(pairs, 0) / (size * (size - 1)), 6) as pair_coverage from s left join e using (ring_id)"""
+select ring_id, size, round(m + 1e-9, 6) as score_mean, round(md + 1e-9, 6) as score_median, round(mn + 1e-9, 6) as score_min, round(p10 + 1e-9, 6) as score_p10, round(sd + 1e-9, 6) as score_std, round(om + 1e-9, 6) as orders_mean, round(am + 1e-9, 6) as active_days_mean, round(ps + 1e-9, 6) as promo_share, coalesce(pairs, 0) as pairs, round(coalesce(wm, 0) + 1e-9, 6) as weight_mean, round(coalesce(wx, 0) + 1e-9, 6) as weight_max, round(coalesce(rs, 0) + 1e-9, 6) as rare_share, round(coalesce(rm, 0) + 1e-9, 6) as relations_mean, coalesce(rd, 0)::bigint as relation_diversity, round(2 * coalesce(pairs, 0) / (size * (size - 1)) + 1e-9, 6) as pair_coverage from s left join e using (ring_id)"""
 )
 def ring_features(spark, sf_dir):
     """Label-free features of each ring."""
@@ -201,7 +201,7 @@ def _nights(spark, sf_dir):
     return r.where("ring_id % 2 = 0"), tonight.join(ok, "ring_id", "left_semi")
 
 
-@query(_NIGHTS + " select a, b, shared, round(jaccard, 6) as jaccard from sim_")
+@query(_NIGHTS + " select a, b, shared, round(jaccard + 1e-9, 6) as jaccard from sim_")
 def ring_similarity(spark, sf_dir):
     """Rings of two nights that are alike."""
     return rounded(rings.ring_similarity(*_nights(spark, sf_dir), 0.3))
@@ -226,13 +226,13 @@ def coverage_curve(spark, sf_dir):
     return rounded(rings.coverage_curve(ranked_rings(spark, sf_dir)))
 
 
-@query(RANKED + ", f as (select user_id, min(rank) as rank from ranked_ group by 1) select d::bigint as depth, count(*) as accounts, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0), 6) as precision from f join accounts_ using (user_id), (select unnest([25, 100, 200]) as d) where rank <= d group by 1")
+@query(RANKED + ", f as (select user_id, min(rank) as rank from ranked_ group by 1) select d::bigint as depth, count(*) as accounts, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0) + 1e-9, 6) as precision from f join accounts_ using (user_id), (select unnest([25, 100, 200]) as d) where rank <= d group by 1")
 def precision_at_depth(spark, sf_dir):
     """Precision of the first 25, 100 and 200 rings."""
     return rounded(rings.precision_at_depth(ranked_rings(spark, sf_dir), _accounts(spark, sf_dir)))
 
 
-@query(RANKED + ", f as (select user_id, min(rank) as rank from ranked_ group by 1), k as (select *, row_number() over (order by rank, user_id) as r from f) select b::bigint as budget, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0), 6) as precision from k join accounts_ using (user_id), (select unnest([250, 500, 1000]) as b) where r <= b group by 1")
+@query(RANKED + ", f as (select user_id, min(rank) as rank from ranked_ group by 1), k as (select *, row_number() over (order by rank, user_id) as r from f) select b::bigint as budget, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0) + 1e-9, 6) as precision from k join accounts_ using (user_id), (select unnest([250, 500, 1000]) as b) where r <= b group by 1")
 def precision_at_budget(spark, sf_dir):
     """Precision of the first accounts in ring order."""
     return rounded(rings.precision_at_budget(ranked_rings(spark, sf_dir), _accounts(spark, sf_dir), (250, 500, 1000)))
@@ -244,7 +244,7 @@ _OFFERS = (
 g as (select rel, entity, count(*) as redeemers, count(ring_id) as in_ring, count(distinct ring_id) as rings, avg(score) as mean_score, quantile_cont(score, 0.9) as p90_score, count(*) filter (where label = 1) as fraud, count(*) filter (where label = 0) as normal from members_ join accounts_ using (user_id) left join ringof_ using (user_id) where rel in ('r6', 'r8') group by all),
 offers_ as (select g.*, in_ring / redeemers as ring_share, round(in_ring / redeemers + mean_score, 9) as leakage from g, act where redeemers between 5 and most)"""
 )
-_OFFER_COLUMNS = "rel, entity, redeemers, in_ring, rings, round(mean_score, 6) as mean_score, round(p90_score, 6) as p90_score, fraud, normal, round(ring_share, 6) as ring_share, round(leakage, 6) as leakage"
+_OFFER_COLUMNS = "rel, entity, redeemers, in_ring, rings, round(mean_score + 1e-9, 6) as mean_score, round(p90_score + 1e-9, 6) as p90_score, fraud, normal, round(ring_share + 1e-9, 6) as ring_share, round(leakage + 1e-9, 6) as leakage"
 
 
 def _offers(spark, sf_dir):
@@ -265,7 +265,7 @@ def offer_ranking(spark, sf_dir):
     return rounded(rings.rank_offers(_offers(spark, sf_dir), 50))
 
 
-@query(_OFFERS + ", r as (select *, row_number() over (order by leakage desc, redeemers desc, entity, rel) as rank from offers_), x as (select rank, user_id from r join members_ using (rel, entity) where rank <= 50), f as (select user_id, min(rank) as rank from x group by 1) select k::bigint as depth, count(*) as accounts, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0), 6) as precision from f join accounts_ using (user_id), (select unnest([10, 25, 50]) as k) where rank <= k group by 1")
+@query(_OFFERS + ", r as (select *, row_number() over (order by leakage desc, redeemers desc, entity, rel) as rank from offers_), x as (select rank, user_id from r join members_ using (rel, entity) where rank <= 50), f as (select user_id, min(rank) as rank from x group by 1) select k::bigint as depth, count(*) as accounts, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0) + 1e-9, 6) as precision from f join accounts_ using (user_id), (select unnest([10, 25, 50]) as k) where rank <= k group by 1")
 def offer_precision(spark, sf_dir):
     """Pooled precision over the accounts of the top offers."""
     top = rings.rank_offers(_offers(spark, sf_dir), 50).select("rank", "rel", "entity")
@@ -292,7 +292,7 @@ def _economics(spark, sf_dir):
     return policy.economics(common.rings(spark, sf_dir), _accounts(spark, sf_dir).join(v, "user_id", "left"))
 
 
-@query(_ECONOMICS + " select ring_id, size, round(p, 6) as p, round(value_at_stake, 6) as value_at_stake, round(legitimate_exposed, 6) as legitimate_exposed, realised_fraud, realised_normal, round(realised_stake, 6) as realised_stake, round(realised_harm, 6) as realised_harm, review_minutes, round(p * value_at_stake - review_minutes * 10, 6) as review_value, round(p * value_at_stake - 0.1::double * legitimate_exposed, 6) as hold_value from eco_")
+@query(_ECONOMICS + " select ring_id, size, round(p + 1e-9, 6) as p, round(value_at_stake + 1e-9, 6) as value_at_stake, round(legitimate_exposed + 1e-9, 6) as legitimate_exposed, realised_fraud, realised_normal, round(realised_stake + 1e-9, 6) as realised_stake, round(realised_harm + 1e-9, 6) as realised_harm, review_minutes, round(p * value_at_stake - review_minutes * 10 + 1e-9, 6) as review_value, round(p * value_at_stake - 0.1::double * legitimate_exposed + 1e-9, 6) as hold_value from eco_")
 def ring_economics(spark, sf_dir):
     """What reviewing or holding each ring is worth."""
     return rounded(policy.expected_values(_economics(spark, sf_dir), 0.1))
@@ -330,14 +330,14 @@ def anchored_rings(spark, sf_dir):
     return peel.anchored_rings(e, a.select("user_id", "score"), graph.ball(e, anchors, a.select("user_id")))
 
 
-@query(_OFFERS + " select rel, entity, redeemers, round(ring_share, 6) as ring_share from offers_ where redeemers >= 6 order by offers_.ring_share desc, redeemers desc, entity, rel limit 200")
+@query(_OFFERS + " select rel, entity, redeemers, round(ring_share + 1e-9, 6) as ring_share from offers_ where redeemers >= 6 order by offers_.ring_share desc, redeemers desc, entity, rel limit 200")
 def offer_list(spark, sf_dir):
     """The offers page: by ring share, at least six redeemers, top 200."""
     x = _offers(spark, sf_dir).where("redeemers >= 6").orderBy(F.desc("ring_share"), F.desc("redeemers"), "entity", "rel").limit(200)
     return rounded(x.select("rel", "entity", "redeemers", "ring_share"))
 
 
-@query(_ECONOMICS + " select ring_id, size, realised_fraud as fraud, round(value_at_stake, 6) as value_at_stake from eco_ where realised_fraud >= 1 order by eco_.value_at_stake desc, ring_id limit 100")
+@query(_ECONOMICS + " select ring_id, size, realised_fraud as fraud, round(value_at_stake + 1e-9, 6) as value_at_stake from eco_ where realised_fraud >= 1 order by eco_.value_at_stake desc, ring_id limit 100")
 def review_queue(spark, sf_dir):
     """The review queue: rings with known fraud by money."""
     x = _economics(spark, sf_dir).where("realised_fraud >= 1").orderBy(F.desc("value_at_stake"), "ring_id").limit(100)
