@@ -1,0 +1,293 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from datetime import date
+
+import numpy as np
+import pytest
+
+from ringloom.llm import decontaminate, jaccard, pieces, pii, quality, urls, wavelet
+
+from .helpers import corpus
+
+SF = "/root/testdata/sf0.001"
+
+
+# quality rules
+
+
+def test_rule_statistics(frame):
+    text = "a b c a b c\n# x y\n\n# x y\n  \n# x y z $$"
+    got = quality.rule_statistics(frame([(1, text), (2, None), (None, "")])).collect()
+    row = {r.doc_id: r for r in got}
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    assert row[1].n_words == len(words) and row[1].word_chars == sum(map(len, words))
+    assert row[1].n_symbols == 5 and row[1].n_dup_lines == 1
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+    assert row[1].n_repeat_words == len(again)
+    assert (row[2].n_words, row[None].word_chars) == (0, 0)
+
+
+def test_forest_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    held = quality.rule_statistics(docs).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    held = [r for r in held if not quality.base_failed(r.n_words, r.n_repeat_words)]
+    bad = forest.score(np.array([r.feats for r in held])) >= forest.threshold
+    truth = np.array([r.quality == 0 for r in held])
+    assert bad[truth].mean() > 0.75 and bad[~truth].mean() < 0.02
+
+
+def test_quality_edges(spark, frame):
+    labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = frame([(1, long), (1, long), (2, "a " * 60), (3, None), (None, long)])
+    got = sorted((str(r.doc_id), r.base_failed, r.kept) for r in quality.quality_rules(docs, labels).collect())
+    assert got == [("1", False, True), ("1", False, True), ("2", True, False), ("3", True, False), ("None", False, True)]
+    assert quality.keep_good(docs, labels).count() == 3
+    assert quality.quality_rules(docs.limit(0), labels).count() == 0
+
+
+# benchmark decontamination
+
+
+def local_score(a, b):
+    """Smith-Waterman by the full table."""
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_equals_full_table():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        score, same, first, end = decontaminate.align(a, b)
+        assert score == local_score(a, b)
+        if score:
+            assert local_score(a, b[first:end]) == score and same <= end - first
+
+
+def test_leaks_are_found_and_clean_documents_stay(frame, spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(30)).capitalize() + ".") for i in range(20)] + [(90, None), (91, ""), (92, "two words")]
+    docs, want = [], set()
+    for d in range(60):
+        w = [word() for _ in range(rng.randint(0, 80))]
+        if d % 3 == 0:
+            i, t = items[d % 20]
+            leak = t.lower().strip(".").split()
+            for _ in range(5):
+                leak[rng.randrange(len(leak))] = word()
+            if d % 2:
+                del leak[10]
+            w[len(w) // 2 : len(w) // 2] = leak
+            want.add((d, i))
+        docs.append((d, " ".join(w)))
+    docs += [(100, None), (101, ""), (None, items[0][1]), (102, "x TWO, words y"), (103, "two other words")]
+    want.add((102, 92))
+    bench = spark.createDataFrame(items + [(None, "some words here")], "item_id long, text string")
+    for block in (100_000, 5):
+        got = decontaminate.contaminated(frame(docs), bench, block=block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert decontaminate.contaminated(frame([]), bench).count() == 0
+    assert decontaminate.contaminated(frame(docs), bench.limit(0)).count() == 0
+
+
+# Jaccard join
+
+
+def brute_components(docs, k, t):
+    sets = {}
+    for d, text in docs:
+        if d is None:
+            continue
+        w = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= t * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,t,block", [(3, 90, 3_000_000), (5, 80, 300), (2, 50, 100)])
+def test_components_equal_brute_force(frame, k, t, block):
+    rng = random.Random(k)
+    docs = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    for _ in range(80):
+        _, text = rng.choice(docs)
+        w = text.split()
+        for _ in range(rng.randint(0, 3)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice("pqrs")
+        docs.append((len(docs), " ".join(w).upper()))
+    docs += [(900, None), (901, ""), (902, " \n"), (None, docs[3][1])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(docs), k, t, block).collect()}
+    assert got == brute_components(docs, k, t)
+    assert any(c != d for d, (_, c) in got.items())
+
+
+def test_repeated_rows_and_empty_tables(frame):
+    docs = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "a b c d e f g h"), (3, "a b c d e f g h")]
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(frame(docs), 3, 90).collect())
+    assert got == [(1, 2, 1), (2, 6, 2), (3, 6, 2)]
+    assert jaccard.jaccard_components(frame([]), 3, 90).count() == 0
+    assert sorted(r.doc_id for r in jaccard.one_of_each(frame(docs)).collect()) == [1, 1, 2, 2]
+
+
+# PII
+
+
+def test_pseudonyms_keep_format_and_link(frame):
+    card, phone = "4337166598464399", "+1 (323) 555-9830"
+    text = f"{card} and {card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]}, call {phone} or +1 323 555 9830. Mail a.b9@x.org; ip 10.20.30.40, on 2024-02-29, id 123-45-6789"
+    got = {r.doc_id: r for r in pii.pseudonymise(frame([(1, text), (2, f"só {card}!"), (3, None), (4, ""), (5, "4337166598464398 2023-02-29 999.1.1.1 1.2.3"), (None, phone)])).collect()}
+    out = got[1].text
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[0-9]", "9", s))
+    assert shape(re.sub(r"\d+\.\d+\.\d+\.\d+", "ip", out)) == shape(re.sub(r"\d+\.\d+\.\d+\.\d+", "ip", text))
+    assert got[1].n_values == 8 and got[1].kinds == ["card", "date", "email", "ip", "phone", "ssn"]
+    new = out.split()[0]
+    assert new != card and out.split()[2].replace("-", "").strip(",") == new and got[2].text == f"só {new}!"
+    total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(new)))
+    assert total % 10 == 0
+    phones = re.findall(r"\+1 ?[\d() -]+\d", out)
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) == re.sub(r"\D", "", got[None].text)
+    date.fromisoformat(re.search(r"\d{4}-\d\d-\d\d(?!\d)", out.split("on ")[1])[0])
+    assert got[3].text is None and got[4].text == "" and got[5].n_values == 0 and got[5].text.startswith("4337166598464398 2023-02-29")
+
+
+def test_feistel_is_a_permutation(spark):
+    ids = spark.range(1000).selectExpr("lpad(id, 3, '0') as v")
+    assert ids.selectExpr(f"{pii.permuted('v', 'k', 'key')} as p").distinct().count() == 1000
+    pairs = spark.range(189 * 773).selectExpr("id div 773 as a", "id % 773 as b")
+    assert pairs.selectExpr(f"{pii.permuted_pair('a', 'b', 189, 773, 'date', 'key')} as p").distinct().count() == 189 * 773
+    one = lambda key: spark.range(1).selectExpr(pii.permuted("'abc123'", "k", key)).first()[0]
+    assert one("x") != one("y") and one("x") == one("x")
+
+
+# URL filters
+
+
+def test_list_join_equals_brute_force(spark):
+    rng = random.Random(4)
+    hosts = ["a.x.com", "b.x.com", "x.com", "y.org", "deep.b.x.com", "localhost", "com"]
+    entries = [(rng.choice(hosts), rng.choice(["block", "allow"]), date(2024, 1, rng.randint(1, 28))) for _ in range(30)] + [(None, "block", date(2024, 1, 1)), ("y.org", "block", None)]
+    caps = [(i, f"https://u:p@{rng.choice(hosts).upper()}:80/q?x#y", date(2024, 1, rng.randint(1, 30))) for i in range(200)]
+    caps += [(500, None, date(2024, 1, 5)), (501, "no url", date(2024, 1, 5)), (502, "http://x.com./", None), (503, "http://x.com./", date(2024, 1, 30)), (503, "http://x.com./", date(2024, 1, 30))]
+
+    def want(url, day):
+        m = re.match(r"[a-z]+://(?:[^/?#@]*@)?([^/?#:]+)", (url or "").lower())
+        labels = m[1].rstrip(".").split(".") if m else []
+        for i in range(max(1, len(labels) - 1) if labels else 0):
+            mine = [(e[2], e[1]) for e in entries if e[0] == ".".join(labels[i:]) and e[2] and day and e[2] <= day]
+            if mine:
+                return max(mine)[1] == "block"
+        return False
+
+    for small in (100_000, 1):
+        got = urls.judge(spark.createDataFrame(caps, "page_id long, url string, fetched date"), spark.createDataFrame(entries, "domain string, action string, listed_on date"), small).collect()
+        assert sorted((r.page_id, r.blocked) for r in got) == sorted((i, want(u, d)) for i, u, d in caps)
+
+
+# token files
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 2), (5000, 70), (3000, 50_000)):
+        ids = rng.integers(0, top, n).astype(np.uint32)
+        m = wavelet.WaveletMatrix(wavelet.pack(ids, [3, None], np.array([n, 0])))
+        assert (m.ids() == ids).all() and m.doc_ids == [3, None] and m.lengths.tolist() == [n, 0]
+        for i in rng.integers(0, max(n, 1), 50).tolist() if n else []:
+            c = int(ids[i])
+            assert m.access(i) == c and m.rank(c, i) == int((ids[:i] == c).sum())
+            assert m.select(c, m.rank(c, i)) == i
+        assert m.select(top + 1, 0) == -1 and m.rank(1 << 20, n) == 0
+
+
+def test_token_files_equal_library(frame):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = [(d, t) for d, t in corpus(6)] + [(77, "It's <|endoftext|> don't\x85ÀÉ é 　x"), (5000, "z " * 30_000)]
+    rows = sorted(((d, t or "") for d, t in docs))
+    model = Tokenizer.from_file(path)
+    want, at = [], 0
+    for d, t in rows:
+        ids = np.array([*model.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids)))
+        at += len(ids)
+    for shard in (2_000_000, 100):
+        got = wavelet.read_shards(wavelet.write_shards(frame(docs), path, shard)).collect()
+        assert sorted(tuple(r) for r in got) == want
+    assert wavelet.read_shards(wavelet.write_shards(frame([]), path)).count() == 0
+
+
+# SentencePiece
+
+
+def test_pieces_equal_library(frame):
+    import sentencepiece
+
+    path = pieces.model_path()
+    mine, theirs = pieces.loaded(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(1)
+    parts = [" ", "  ", "    ", "\n", "\t", "a", "the", "in", "tion", "é", "①", "😀", "2024", "{", "==", "\r\n", "\x00", "日本", "И", "hello", "<0x0A>", "<s>", "<unk>", "́"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(800)] + ["x" * 3000 + "abcdefgh" * 500 + "=" * 1000]
+    for t in texts:
+        ids = mine.encode(t).tolist()
+        assert ids == theirs.encode(t) and mine.decode(ids) == t
+    docs = list(enumerate(texts[:50])) + [(90, None), (None, "a")]
+    got = pieces.encoded(frame(docs), path).collect()
+    assert sorted(str((r.doc_id, r.ids)) for r in got) == sorted(str((d, theirs.encode(t or ""))) for d, t in docs)
+    assert all(r.round_trip for r in got if r.doc_id != 90)
+    back = pieces.decoded(pieces.encoded(frame(docs), path), path).collect()
+    assert {r.doc_id: r.text for r in back} == {d: t or "" for d, t in docs}
+
+
+# the pipeline
+
+
+def test_pipeline_stages_chain(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    kept = quality.quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF).cache()
+        n = docs.count()
+        assert 0 < n <= before
+        before = n
+        if i < 4:
+            assert docs.columns == columns, name
+        if i == 0:
+            assert n == kept
+        if i == 1:
+            groups = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+            assert Counter(c for s, c in groups.values() if s).most_common(1)[0][1] == 1
+        if i == 2:
+            assert decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+        if i == 3:
+            again = defaultdict(int)
+            for r in docs.collect():
+                again[r.n_chars == len(r.text)] += 1
+            assert again[False] == 0
+    assert docs.where("round_trip").count() == before
