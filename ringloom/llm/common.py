@@ -150,17 +150,21 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and
-    a lost executor costs at most the tasks after it."""
+    a lost executor costs at most the tasks after it. by: a column with a folder for each value,
+    so that drop_part can delete one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ringloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _made.append((spark, path))
-    # what df shuffled is not needed any more: let Spark find that out now
+    schema = df.schema
+    del df
+    # what it shuffled is not needed any more: let Spark find that out now
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._ringloom_path = path
     return out
 
@@ -171,6 +175,11 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._ringloom_path)
 
 
+def drop_part(table_: DataFrame, part: str) -> None:
+    """Delete a folder, e.g. kind=1, of a table that cut(..., by) made."""
+    _delete(table_.sparkSession, f"{table_._ringloom_path}/{part}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -83,7 +83,7 @@ def locate(segments: list[tuple[int, int, bytes]], width: int = WIDTH):
                 yield doc, start + int(x), start + int(y)
 
 
-PHRASES = repeats.Kind(width=WIDTH, k=5, units=words_of, hashes=_hashes, join=b" ".join, kernel=locate, shard=1_000_000)
+PHRASES = repeats.Kind(width=WIDTH, k=5, units=words_of, hashes=_hashes, join=b" ".join, kernel=locate, shard=400_000)
 
 
 def _finish(words: list[bytes], gone: np.ndarray):

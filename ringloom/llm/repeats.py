@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, gram_hashes, rows, signed
+from .common import batches_of, cut, drop, gram_hashes, rows, signed
 
 
 @dataclass(frozen=True)
@@ -193,6 +193,7 @@ def removed_spans(docs: DataFrame, kind: Kind, heavy: int = 100_000) -> tuple[Da
     anchors = cut(_anchors(docs, kind))
     again = anchors.groupBy("anchor").agg(F.min("doc_id").alias("route"), F.sum("n").alias("n"))
     routed = cut(anchors.join(again.where("n > 1").select("anchor", "route"), "anchor").select("anchor", "doc_id", "route"))
+    drop(anchors)
     parts = routed.groupBy("route").agg(F.ceil(F.count("*") / heavy).alias("parts")).where("parts > 1")
     routes = routed.join(F.broadcast(parts) if parts.count() < 10_000 else parts, "route", "left").select("doc_id", "anchor", "route", F.coalesce("parts", F.lit(1)).alias("parts"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

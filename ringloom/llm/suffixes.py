@@ -83,8 +83,10 @@ def suffix_array(b: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank
 
 
-def common_prefixes(b: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Bytes that each suffix in order has in common with the one before it (first: 0)."""
+def common_prefixes(b: np.ndarray, sa: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Bytes that each suffix in order has in common with the one before it (first: 0). With
+    width, counts beyond it may come out lower, but not below it: comparisons end
+    after 4 widths then, and positions further on are compared anew."""
     n = len(b)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
@@ -92,6 +94,12 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray) -> np.ndarray:
     # they have in common is one byte more than here
     prev = before[:-1]
     follows = np.concatenate([[False], (prev >= 0) & (before[1:] == prev + 1) & (b[:-1] == b[np.maximum(prev, 0)])])
+    pos = np.arange(n)
+    most = n
+    if width is not None:
+        most = 4 * width + 16
+        chain = pos - np.maximum.accumulate(np.where(follows, 0, pos))
+        follows &= chain % (3 * width) != 0
     eights = _eights(b)
     todo = np.flatnonzero(~follows & (before >= 0))
     other = before[todo]
@@ -102,14 +110,15 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray) -> np.ndarray:
         same = (n - np.maximum(x, y) >= 8) & (eights[np.minimum(x, n - 1)] == eights[np.minimum(y, n - 1)])
         active = active[same]
         got[active] += 8
-    active = np.arange(len(todo))
+        if len(active) and got[active[0]] >= most:
+            break
+    active = np.flatnonzero(got < most)
     while len(active):
         x, y = todo[active] + got[active], other[active] + got[active]
         active = active[(np.maximum(x, y) < n) & (b[np.minimum(x, n - 1)] == b[np.minimum(y, n - 1)])]
         got[active] += 1
     length = np.zeros(n, np.int64)
     length[todo] = got
-    pos = np.arange(n)
     root = np.maximum.accumulate(np.where(follows, 0, pos))
     return (length[root] - (pos - root))[sa]
 
@@ -117,7 +126,7 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def _classes(b: np.ndarray, valid: np.ndarray, loc: np.ndarray, width: int):
     """(window starts by class, class heads, the first place of each class) of valid starts."""
     sa, _ = suffix_array(b, width)
-    lcp = common_prefixes(b, sa)
+    lcp = common_prefixes(b, sa, width)
     new = lcp < width
     group = np.cumsum(new) - 1
     keep = valid[sa]
@@ -192,7 +201,7 @@ def _merge(b: np.ndarray, lists: list, first: np.ndarray, width: int) -> None:
         first[s] = np.repeat(low, np.diff(np.append(heads, len(s))))
 
 
-SUFFIXES = repeats.Kind(width=WIDTH, k=32, units=_bytes, hashes=_hashes, join=bytes, kernel=locate, shard=2_000_000)
+SUFFIXES = repeats.Kind(width=WIDTH, k=32, units=_bytes, hashes=_hashes, join=bytes, kernel=locate, shard=150_000)
 
 
 def _finish(raw: bytes, gone: np.ndarray):
