@@ -21,7 +21,7 @@ except that U+2581, the space mark itself, comes back as a space, and lone surro
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,22 @@ from .common import rows, table
 MARK = "▁"
 
 
+class Memory(dict):
+    """Results by stretch, made where missing."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        out = self[key] = self.make(key)
+        return out
+
+
 class Pieces:
     """A BPE model's pieces, with encoding and decoding."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 900_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,9 +63,14 @@ class Pieces:
         # a piece that BPE doesn't give for its own text is never a result
         self.whole = {p: i for p, i in self.id.items() if self.merge(p) == [p]}
         self.longest = max(map(len, self.whole))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known = Memory(lambda w: self.word(MARK + w))  # words after a space
+        self.bare = Memory(self.word)
         self.limit = limit
+        self.newline = array("i", [self.byte[10]]).tobytes() if 10 in self.byte and "\n" not in self.id else None
+        # what each id stands for; a byte above ASCII needs its neighbours
+        self.plain = ["" if self.value.get(i, 0) > 127 else chr(self.value[i]) if i in self.value else self.text.get(i, "").replace(MARK, " ") for i in range(size)]
+        self.high = np.array([self.value.get(i, 0) > 127 for i in range(size)])
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short text: the neighbours that make the best piece are merged, first ones first."""
@@ -71,17 +88,42 @@ class Pieces:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether BPE leaves piece b after piece a as they are."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
             x, y = self.text[a], self.text[b]
-            known = self.pairs[a, b] = self.merge(x + y) == [x, y]
+            known = self.pairs[a << 20 | b] = self.merge(x + y) == [x, y]
         return known
 
+    def window(self, text: str) -> list[int]:
+        """Ids of a stretch that is one window: all paths converge at its end."""
+        get, known, most, n = self.whole.get, self.pairs.get, self.longest, len(text)
+        last = [-1] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(end - most if end > most else 0, end):
+                piece = get(text[start:end])
+                if piece is None:
+                    continue
+                if start:
+                    before = last[start]
+                    ok = known(before << 20 | piece)
+                    if not (self.follows(before, piece) if ok is None else ok):
+                        continue
+                last[end] = piece
+                break
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(self.text[last[n]])
+        return out[::-1]
+
     def stream(self, text: str):
         """Ids of a stretch of characters that all have pieces, committed as soon as they are sure."""
         get, follows, most = self.whole.get, self.follows, self.longest
+        if len(text) <= 4 * most:
+            yield from self.window(text)
+            return
         last: list[int] = []  # the last piece of each prefix in the window
         lengths: list[int] = []
         base = 0  # where the window begins: all paths go through it
@@ -121,8 +163,8 @@ class Pieces:
             at -= lengths[at - base - 1]
         yield from reversed(ids)
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch without a space mark inside."""
+    def word(self, text: str) -> bytes:
+        """Ids of a stretch without a space mark inside, as 32-bit integers."""
         out: list[int] = []
         begin = 0
         for i, c in enumerate(text):
@@ -134,25 +176,32 @@ class Pieces:
                 begin = i + 1
         if begin < len(text):
             out += self.stream(text[begin:])
-        return tuple(out)
+        return array("i", out).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        text = MARK + text.replace(" ", MARK)
-        stretches = re.findall(f"{MARK}+[^{MARK}]*", text)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, stretches)), np.int32)
-        except KeyError:
-            for s in stretches:
-                if s not in known:
-                    known[s] = self.word(s)
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, stretches)), np.int32)
+        for memory in (self.known, self.bare):
+            if len(memory) > self.limit:
+                memory.clear()
+        if MARK in text or "  " in text or text[0] == " " or self.newline is None:
+            text = MARK + text.replace(" ", MARK)
+            return np.frombuffer(b"".join([self.bare[s] for s in re.findall(f"{MARK}+[^{MARK}]*", text)]), np.int32)
+        # the common case: words with single spaces, in lines
+        known = self.known.__getitem__
+        out: list[bytes] = []
+        for i, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if i:
+                out += (self.newline, self.bare[words[0]])
+                del words[0]
+            out.extend(map(known, words))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
+        if not self.high[ids].any() if len(ids) else True:
+            text = "".join(map(self.plain.__getitem__, ids))
+            return text[1:] if text.startswith(" ") else text
         parts, raw = [], bytearray()
         for i in ids:
             b = self.value.get(i)
