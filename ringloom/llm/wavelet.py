@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,27 +41,45 @@ _BLOCK = 512
 class WordEncoder:
     """ids of whole texts by words, with the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.between = "<|endoftext|>"
+        self.mark = self.model.token_to_id(self.between)
+        if self.mark is None:
+            raise ValueError(f"the tokenizer has no {self.between}")
+        self.known: dict[bytes, bytes] = {}  # ids as 32-bit numbers
         self.limit = limit
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.uint32) for ws in words]
+        found = [list(map(known.get, ws)) for ws in words]
+        new = list({w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None})
+        plain = [w for w in new if b"<|" not in w]
+        for w in new if len(plain) < len(new) else ():
+            if b"<|" in w:
+                known[w] = np.array(self.ids([w.decode("utf-8", "surrogatepass")])[0], np.uint32).tobytes()
+        # many words at once: a special token between them is no part of any, and parts them again
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self.ids([self.between.join(w.decode("utf-8", "surrogatepass") for w in part)])[0], np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            raw = ids.tobytes()
+            edges = [0, *(4 * at).tolist(), len(raw)]
+            for k, w in enumerate(part):
+                known[w] = raw[edges[k] + 4 * (k > 0) : edges[k + 1]]
+        whole = ([known[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids for ws, ids in zip(words, found))
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in whole]
 
 
 _loaded: dict[str, WordEncoder] = {}
