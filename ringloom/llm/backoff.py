@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, rows, scramble, table, text_words
+from .common import cut, drop_part, rows, scramble, table, text_words
 
 ALPHA = 0.4
 _SHIFT = np.uint64(8)
@@ -166,12 +166,14 @@ def stupid_backoff(docs: DataFrame, block: int = 1_000_000) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(30, max(4, int(size / 4_000_000).bit_length()))  # buckets of about a million n-grams
-    sent = cut(_explode(slim, block, bits))
+    sent = cut(_explode(slim, block, bits), by="kind")
     n = int(sent.where("kind = 0").agg(F.sum("n")).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    asked = sent.where("kind > 0").repartition(parts, "bucket", "kind").sortWithinPartitions("bucket", "kind")
-    answers = cut(asked.mapInArrow(_answer, _ROWS))
-    both = sent.where("kind = 0").unionByName(answers)
+    answers = cut(sent.where("kind > 0").select(*_ARROW.names).repartition(parts, "bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ROWS))
+    blocks = spark.read.schema(sent.schema).option("basePath", sent._ringloom_path).parquet(f"{sent._ringloom_path}/kind=0") if n else sent.where("kind = 0")
+    for kind in (1, 2):  # answered
+        drop_part(sent, f"kind={kind}")
+    both = blocks.select(*_ARROW.names).unionByName(answers)
 
     def score(block_: pa.Table) -> pa.Table:
         got = sorted(zip(*(block_.column(c).to_pylist() for c in ("kind", "bucket", "n", "hashes", "counts"))), key=lambda r: r[:2])
