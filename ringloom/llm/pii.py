@@ -7,7 +7,7 @@ with, and different ones stay different:
 - card numbers (13 to 19 digits, or groups 4-4-4-4 or 4-6-5, that pass Luhn): all digits between the first and the check
   digit are permuted, and the check digit is computed anew;
 - phone numbers (with + and a country code, or three groups 3-3-4) and 3-2-4 social
-  security numbers: the digits after the country code;
+  security numbers: the digits after the country code, which is told by the digits alone;
 - IPv4 addresses (octets up to 255): permuted as 32 bits;
 - ISO dates that exist, 1800-01-01 to 2199-12-31: permuted as days of that 400-year cycle;
 - e-mail addresses (the part before @), access keys, and hexadecimal secrets after
@@ -42,6 +42,8 @@ PATTERNS = {
     "secret": r"(?<=(?:token|password|passwd|secret|key) ?[=:] ?[\"']?)[0-9a-f]{16,64}(?![0-9A-Za-z])",
 }
 _ANY = "|".join(PATTERNS.values())
+#: Country codes: 1, 7, those of two digits, and all else three; none is the start of another.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
 
 def _lit(s: str) -> str:
@@ -108,9 +110,9 @@ def pseudonym(m: str, kind: str, key: str) -> str:
         made = _let("w", f"concat(substring(v, 1, 1), {middle})", f"concat(w, cast((10 - {_luhn('w', '0')} % 10) % 10 as string))")
         return _let("v", digits, f"if({_luhn('v', '1')} % 10 = 0, {_filled(m, made)}, {m})")
     if kind in ("phone", "ssn"):
-        country = f"if(startswith({m}, '+'), regexp_extract({m}, '^[+][0-9]+', 0), '')"
-        rest = f"substring({m}, 1 + length(v), 64)"
-        return _let("v", country, f"concat(v, {_let('w', rest, _let('u', permuted('regexp_replace(w, ' + _lit('[^0-9]') + ', ' + _lit('') + ')', kind, key), _filled('w', 'u')))})")
+        country = f"if(startswith({m}, '+'), regexp_extract(v, '^({_COUNTRY})', 1), '')"
+        made = _let("w", country, f"concat(w, {_let('u', 'substring(v, 1 + length(w), 64)', permuted('u', kind, key))})")
+        return _let("v", digits, _let("q", made, _filled(m, "q")))
     if kind == "ip":
         octet = lambda i: f"cast(element_at(split({m}, '[.]'), {i}) as bigint)"
         pair = permuted_pair(f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", 65536, 65536, kind, key)

@@ -172,6 +172,18 @@ def test_pseudonyms_keep_format_and_link(frame):
     assert got[3].text is None and got[4].text == "" and got[5].n_values == 0 and got[5].text.startswith("4337166598464398 2023-02-29")
 
 
+def test_phones_in_any_writing(frame):
+    same = [["+13235559830", "+1 (323) 555-9830", "+1323-555-9830", "+1 323 5559830", "+1.323.555.9830"], ["+442079460958", "+44 20 7946 0958", "+44 (20) 79460958"], ["+353861234567", "+353 86 123 4567"]]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame([(10 * g + i, f"call {p}, please") for g, forms in enumerate(same) for i, p in enumerate(forms)])).collect()}
+    for g, (code, forms) in enumerate(zip(("1", "44", "353"), same)):
+        new = [got[10 * g + i].text[5:-8] for i in range(len(forms))]
+        digits = {re.sub("[^0-9]", "", p) for p in new}
+        old = re.sub("[^0-9]", "", forms[0])
+        assert len(digits) == 1 and digits != {old} and digits.pop().startswith(code)
+        assert [re.sub("[0-9]", "9", p) for p in new] == [re.sub("[0-9]", "9", p) for p in forms]
+    assert all(r.n_values == 1 and r.kinds == ["phone"] for r in got.values())
+
+
 def test_feistel_is_a_permutation(spark):
     ids = spark.range(1000).selectExpr("lpad(id, 3, '0') as v")
     assert ids.selectExpr(f"{pii.permuted('v', 'k', 'key')} as p").distinct().count() == 1000
