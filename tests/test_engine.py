@@ -42,6 +42,33 @@ def test_planted_rings_are_recovered(spark):
             assert len(found & set(p)) / len(found | set(p)) >= 0.9
 
 
+def blob_graph():
+    """1,200 even vertices, less even ones inside, so that no contribution is far above the mean."""
+    rng = random.Random(5)
+    draws = [(rng.randrange(1200), rng.randrange(1200)) for _ in range(14000)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(300)]
+    return {(min(a, b), max(a, b)): round(0.9 + rng.random() / 1000, 6) for a, b in draws if a != b}, {v: 0.0 for v in range(1200)}
+
+
+def hub_graph():
+    """Three hubs with 500 leaves each, a clique of 12, a short chain, and high scores on some leaves."""
+    rng = random.Random(6)
+    edges = {(h, 100 + 500 * h + i): round(0.3 + rng.random() / 10, 6) for h in range(3) for i in range(500)}
+    edges |= {(a, b): round(0.8 + rng.random() / 10, 6) for a, b, _ in clique(range(50, 62), 0)} | {(2000 + i, 2001 + i): 0.5 for i in range(6)} | {(2, 50): 0.4}
+    return edges, {v: round(rng.random() * 0.3, 6) if v % 7 else round(0.9 + rng.random() / 20, 6) for p in edges for v in p}
+
+
+@pytest.mark.parametrize("made,lam,k_max", [(blob_graph, 0.0, 500), (hub_graph, 1.0, 40)])
+def test_rings_do_not_depend_on_the_size_switch(spark, made, lam, k_max):
+    edges, scores = made()
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double")
+    s = spark.createDataFrame(list(scores.items()), "user_id long, score double")
+    whole, cored = (peel.extract_rings(e, s, lambda_=lam, k_min=5, k_max=k_max, top_k=2, small=small).toPandas() for small in (200_000, 0))
+    assert len(whole) >= 5
+    for i in (1, 2):
+        a, b = whole[whole.ring_id == i], cored[cored.ring_id == i]
+        assert set(a.user_id) == set(b.user_id) and a.density.max() == pytest.approx(b.density.max())
+
+
 def test_exact_peel_density_is_that_of_its_set():
     rng = np.random.default_rng(1)
     n = 30
