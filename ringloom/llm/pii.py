@@ -11,7 +11,8 @@ with, and different ones stay different:
 - IPv4 addresses (octets up to 255): permuted as 32 bits;
 - ISO dates that exist, 1800-01-01 to 2199-12-31: permuted as days of that 400-year cycle;
 - e-mail addresses (the part before @), access keys, and hexadecimal secrets after
-  token, password, secret or key: characters within their classes.
+  token, password, secret or key in any case: characters within their classes. Secrets that
+  differ only in case are equal; a pseudonym is upper-case where the secret has only upper-case letters.
 
 A Feistel network takes turns: one half's characters are shifted, each in its class, by
 bytes of SHA-256 over the key, the kind, the round and the other half. IPv4
@@ -39,9 +40,11 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?!-?[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:token|password|passwd|secret|key) ?[=:] ?[\"']?)[0-9a-f]{16,64}(?![0-9A-Za-z])",
+    "secret": r"(?<=(?i:token|password|passwd|secret|key) ?[=:] ?[\"']?)[0-9A-Fa-f]{16,64}(?![0-9A-Za-z])",
 }
 _ANY = "|".join(PATTERNS.values())
+#: What every value has, a secret before it: a text without any of these has none.
+_TRIGGER = "[0-9@=:]|AKIA"
 #: Country codes: 1, 7, those of two digits, and all else three; none is the start of another.
 _COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
@@ -126,7 +129,7 @@ def pseudonym(m: str, kind: str, key: str) -> str:
         return f"concat({permuted(f'substring_index({m}, ' + _lit('@') + ', 1)', kind, key)}, '@', substring_index({m}, '@', -1))"
     if kind == "key":
         return f"concat('AKIA', {permuted(f'substring({m}, 5, 16)', kind, key)})"
-    return permuted(m, kind, key, hexadecimal=True)
+    return _let("u", permuted(f"lower({m})", kind, key, hexadecimal=True), f"if({m} rlike '[A-F]' and not {m} rlike '[a-f]', upper(u), u)")
 
 
 def _kind(m: str) -> str:
@@ -134,7 +137,7 @@ def _kind(m: str) -> str:
     return (
         f"case when {m} like '%@%' then 'email' when startswith({m}, 'AKIA') then 'key' when {m} rlike '^([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$' then 'ip'"
         f" when {m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then 'date' when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'"
-        f" when startswith({m}, '+') or length(regexp_replace({m}, '[^0-9]', '')) = 10 and not {m} rlike '[a-f]' then 'phone'"
+        f" when startswith({m}, '+') or length(regexp_replace({m}, '[^0-9]', '')) = 10 and not {m} rlike '[A-Fa-f]' then 'phone'"
         f" when {m} rlike '^[0-9 -]+$' then 'card' else 'secret' end"
     )
 
@@ -142,7 +145,7 @@ def _kind(m: str) -> str:
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """All columns of docs, with text pseudonymised, plus __values: the kinds of replaced values."""
     text = F.col("text").cast("string")
-    marked = docs.withColumn("text", text).withColumn("__m", F.when(text.rlike("[0-9@]"), F.expr(f"regexp_extract_all(text, {_lit(_ANY)}, 0)")).otherwise(F.array().cast("array<string>")))
+    marked = docs.withColumn("text", text).withColumn("__m", F.when(text.rlike(_TRIGGER), F.expr(f"regexp_extract_all(text, {_lit(_ANY)}, 0)")).otherwise(F.array().cast("array<string>")))
     cases = " ".join(f"when k = '{k}' then {pseudonym('m', k, key)}" for k in PATTERNS)
     made = marked.withColumn("__p", F.expr(f"transform(__m, m -> {_let('k', _kind('m'), f'named_struct({_lit('k')}, k, {_lit('m')}, m, {_lit('p')}, case {cases} end)')})"))
     pieces = f"zip_with(split(text, {_lit(_ANY)}, -1), array_append(transform(__p, x -> x.p), ''), (a, b) -> concat(a, b))"
