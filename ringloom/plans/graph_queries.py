@@ -168,6 +168,13 @@ def two_hop_closure(spark, sf_dir):
     return graph.close_neighbourhood(seeds, edges(spark, sf_dir), 2)
 
 
+@query()
+def fraud_closure(spark, sf_dir):
+    """Every account within two hops of any fraud account; a test holds it against brute force."""
+    seeds = adapter.accounts(spark, sf_dir).where("label = 1").select("user_id")
+    return graph.close_neighbourhood(seeds, edges(spark, sf_dir), 2)
+
+
 _DEGREE = ", d_ as (select user_id, coalesce(sum(weight::double), 0) as d from accounts_ left join ways_ on node = user_id group by 1), s0 as (select user_id, d, phi as b, phi as t from d_ join (select user_id, case label when 1 then 0.01::double when 0 then -0.01::double else 0.0::double end as phi from accounts_) using (user_id))"
 _STEPS = "".join(
     f", s{i + 1} as (select s.user_id, s.d, s.b + coalesce(x, 0) * (2 * 0.001 / (1 - 4e-6)) - (4e-6 / (1 - 4e-6)) * s.d * s.t as b, coalesce(x, 0) * (2 * 0.001 / (1 - 4e-6)) - (4e-6 / (1 - 4e-6)) * s.d * s.t as t from s{i} s left join (select node, sum(weight::double * n.t) as x from ways_ join s{i} n on n.user_id = nbr group by 1) on node = s.user_id)"

@@ -342,3 +342,31 @@ def review_queue(spark, sf_dir):
     """The review queue: rings with known fraud by money."""
     x = _economics(spark, sf_dir).where("realised_fraud >= 1").orderBy(F.desc("value_at_stake"), "ring_id").limit(100)
     return rounded(x.select("ring_id", "size", F.col("realised_fraud").alias("fraud"), "value_at_stake"))
+
+
+def _peeled(spark, sf_dir, half: str | None = None):
+    """Rings of the pruned graph, of all orders or of one half of the days."""
+    a, o = _accounts(spark, sf_dir), adapter.orders(spark, sf_dir)
+    if half:
+        o = o.join(F.broadcast(graph.windows(o).where(F.col("half") == half).select("day_ordinal")), "day_ordinal", "left_semi")
+    return peel.extract_rings(graph.prune(graph.build_graph(o), a, 0.5), a.where("score > 0.5").select("user_id", "score")).select("ring_id", "user_id")
+
+
+@query()
+def hostel_test_peeled(spark, sf_dir):
+    """How flagged hostels are by all peeled rings; a test holds the shares against brute force."""
+    mem = graph.members(adapter.orders(spark, sf_dir))
+    cl = rings.colocated_clusters(mem, _accounts(spark, sf_dir), "r1", least=8)
+    return rounded(rings.hostel_test(cl, mem, "r1", edges(spark, sf_dir), _accounts(spark, sf_dir), _peeled(spark, sf_dir)))
+
+
+@query()
+def night_similarity(spark, sf_dir):
+    """Rings of the early and of the late days that are alike; a test holds them against brute force."""
+    return rounded(rings.ring_similarity(_peeled(spark, sf_dir, "early"), _peeled(spark, sf_dir, "late"), 0.3))
+
+
+@query()
+def night_cases(spark, sf_dir):
+    """Which rings of the late days are cases of the early ones."""
+    return rings.match_night(_peeled(spark, sf_dir, "early"), _peeled(spark, sf_dir, "late"), 0.3, 10_000_000)

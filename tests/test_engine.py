@@ -251,3 +251,30 @@ def test_query_equals_sql(spark, duck, name):
             assert np.allclose(a[c].astype(float), b[c].astype(float), atol=2e-6, equal_nan=True), c
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
+
+
+# queries over all accounts and rings, without SQL
+
+
+def test_fraud_closure_is_of_all_fraud_accounts(spark):
+    e = registry.QUERIES["account_edges"](spark, SF).toPandas()
+    fraud = set(registry.QUERIES["account_cards"](spark, SF).where("label = 'fraud'").toPandas().user_id)
+    want, pairs = set(fraud), list(zip(e.src, e.dst))
+    for _ in range(2):
+        want |= {b for a, b in pairs if a in want} | {a for a, b in pairs if b in want}
+    assert fraud and {r.user_id for r in registry.QUERIES["fraud_closure"](spark, SF).collect()} == want
+
+
+def test_nights_and_hostels_use_all_peeled_rings(spark):
+    from ringloom.plans import ring_queries
+
+    sets = lambda half: ring_queries._peeled(spark, SF, half).toPandas().groupby("ring_id").user_id.apply(set).to_dict()
+    early, late, whole = sets("early"), sets("late"), sets(None)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in early.items() for b, y in late.items() if len(x & y) / len(x | y) >= 0.3}
+    got = {(r.a, r.b): r.jaccard for r in registry.QUERIES["night_similarity"](spark, SF).collect()}
+    assert early and late and got == pytest.approx(want, abs=1e-6)
+    assert {r.case_id for r in registry.QUERIES["night_cases"](spark, SF).collect()} >= set(early) - {a for a, _ in want}
+    mem = registry.QUERIES["hostel_clusters"](spark, SF).select("entity").join(graph.members(ring_queries.adapter.orders(spark, SF), ("r1",)), "entity").toPandas()
+    inside = set().union(*whole.values())
+    shares = mem.assign(k=mem.user_id.isin(inside) * 1.0).groupby("entity").k.mean().to_dict()
+    assert {r.entity: r.share_in_ring for r in registry.QUERIES["hostel_test_peeled"](spark, SF).collect()} == pytest.approx(shares, abs=1e-6)
