@@ -168,6 +168,18 @@ def two_hop_closure(spark, sf_dir):
     return graph.close_neighbourhood(seeds, edges(spark, sf_dir), 2)
 
 
+@query()
+def fraud_components(spark, sf_dir):
+    """Connected fraud accounts, five or more; a test holds them against brute force."""
+    return stress.fraud_components(adapter.accounts(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query()
+def fragmented_components(spark, sf_dir):
+    """Edges left when connected fraud accounts split into cells of five."""
+    return rounded(stress.fragment(edges(spark, sf_dir), stress.cells(fraud_components(spark, sf_dir), 5)).select("src", "dst", "weight"))
+
+
 @query()
 def fraud_closure(spark, sf_dir):
     """Every account within two hops of any fraud account; a test holds it against brute force."""
@@ -297,8 +309,7 @@ def mutual_nearest(spark, sf_dir):
 @query()
 def instrument_overlay(spark, sf_dir):
     """Edges of a simulated shared instrument."""
-    a = adapter.accounts(spark, sf_dir)
-    return stress.instrument_edges(a.where("label = 1").select("user_id", (F.col("user_id") % 40).alias("component")), a, 0.8, 0.1)
+    return stress.instrument_edges(fraud_components(spark, sf_dir), adapter.accounts(spark, sf_dir), 0.8, 0.1)
 
 
 @query()

@@ -278,3 +278,14 @@ def test_nights_and_hostels_use_all_peeled_rings(spark):
     inside = set().union(*whole.values())
     shares = mem.assign(k=mem.user_id.isin(inside) * 1.0).groupby("entity").k.mean().to_dict()
     assert {r.entity: r.share_in_ring for r in registry.QUERIES["hostel_test_peeled"](spark, SF).collect()} == pytest.approx(shares, abs=1e-6)
+
+
+def test_fraud_components_are_those_of_the_graph(spark):
+    e = registry.QUERIES["account_edges"](spark, SF).toPandas()
+    root = {v: v for v in registry.QUERIES["account_cards"](spark, SF).where("label = 'fraud'").toPandas().user_id}
+    pairs = [(a, b) for a, b in zip(e.src, e.dst) if a in root and b in root]
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {v: c for v, c in root.items() if sum(x == c for x in root.values()) >= 5}
+    assert want and {r.user_id: r.component for r in registry.QUERIES["fraud_components"](spark, SF).collect()} == want
