@@ -262,7 +262,7 @@ def event_bursts_1d(spark, sf_dir):
 def burst_z_table(spark, sf_dir):
     """Bursts against a null model of independent arrivals, per exact size."""
     a = _arrivals(spark, sf_dir)
-    null = bursts.null_by_size(bursts.daily_share(a, 0, 99), a.select("size"), draws=100)
+    null = bursts.null_by_size(bursts.daily_share(a, 0, 99), a.select("size"), draws=400)
     return bursts.burst_z(bursts.bursts(a), null)
 
 
@@ -315,7 +315,7 @@ def instrument_overlay(spark, sf_dir):
 @query()
 def neighbour_sample(spark, sf_dir):
     """Two-hop neighbour sample of the labelled fraud accounts."""
-    return stress.sample_neighbours(edges(spark, sf_dir), adapter.accounts(spark, sf_dir).where("label = 1").select("user_id"), (5, 3))
+    return stress.sample_neighbours(edges(spark, sf_dir), adapter.accounts(spark, sf_dir).where("label = 1").select("user_id"), (15, 10))
 
 
 @query(

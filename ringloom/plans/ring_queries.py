@@ -318,14 +318,14 @@ def review_outcomes(spark, sf_dir):
 def peeled_rings(spark, sf_dir):
     """The densest groups of the pruned graph; tests hold the kernels against brute force."""
     a = _accounts(spark, sf_dir)
-    return peel.extract_rings(graph.prune(edges(spark, sf_dir), a, 0.5), a.where("score > 0.5").select("user_id", "score"), top_k=10)
+    return peel.extract_rings(graph.prune(edges(spark, sf_dir), a, 0.5), a.where("score > 0.5").select("user_id", "score"))
 
 
 @query()
 def anchored_rings(spark, sf_dir):
-    """The densest group around each of the top 50 anchors."""
+    """The densest group around each of the top 500 anchors."""
     a = _accounts(spark, sf_dir).where("score > 0.5")
-    anchors = a.orderBy(F.desc("score"), "user_id").limit(50).select(F.col("user_id").alias("anchor"))
+    anchors = a.orderBy(F.desc("score"), "user_id").limit(500).select(F.col("user_id").alias("anchor"))
     e = graph.prune(edges(spark, sf_dir), a, 0.5)
     return peel.anchored_rings(e, a.select("user_id", "score"), graph.ball(e, anchors, a.select("user_id")))
 

@@ -289,3 +289,18 @@ def test_fraud_components_are_those_of_the_graph(spark):
             root[a] = root[b] = min(root[a], root[b])
     want = {v: c for v, c in root.items() if sum(x == c for x in root.values()) >= 5}
     assert want and {r.user_id: r.component for r in registry.QUERIES["fraud_components"](spark, SF).collect()} == want
+
+
+def test_queries_run_at_the_reference_parameters(spark, monkeypatch):
+    from ringloom.plans import graph_queries, ring_queries
+
+    seen = {}
+    monkeypatch.setattr(peel, "extract_rings", lambda *a, **k: seen.update(top_k=k.get("top_k", peel.SETTINGS.top_k)))
+    monkeypatch.setattr(graph, "ball", lambda e, anchors, *a, **k: seen.update(anchors=anchors._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(peel, "anchored_rings", lambda *a, **k: None)
+    monkeypatch.setattr(graph_queries.stress, "sample_neighbours", lambda e, s, fans: seen.update(fans=fans))
+    monkeypatch.setattr(graph_queries.bursts, "null_by_size", lambda *a, draws: seen.update(draws=draws))
+    monkeypatch.setattr(graph_queries.bursts, "burst_z", lambda *a: None)
+    for f in (ring_queries.peeled_rings, ring_queries.anchored_rings, graph_queries.neighbour_sample, graph_queries.burst_z_table):
+        f(spark, SF)
+    assert "Limit 500" in seen["anchors"] and (seen["top_k"], seen["fans"], seen["draws"]) == (25, (15, 10), 400)
