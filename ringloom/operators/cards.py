@@ -21,10 +21,11 @@ def distance_band(d):
 
 def relations(df: DataFrame) -> DataFrame:
     """Adds device, purchaser, recipient, place and browser; empty marks are null. A half-known
-    device is still one."""
+    device or place is still one."""
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     none = lambda x: F.when(x.isin("", "|", "nan|nan"), None).otherwise(x)
-    place = F.when(F.col("addr1").isNotNull() & distance_band(F.col("dist1")).isNotNull(), F.concat_ws("|", F.col("addr1").cast("string"), distance_band(F.col("dist1")).cast("string")))
+    band = F.coalesce(distance_band(F.col("dist1")).cast("string"), F.lit(""))
+    place = none(F.concat(e("addr1"), F.lit("|"), band))
     return df.withColumn("device", none(F.concat(e("DeviceInfo"), F.lit("|"), e("DeviceType")))).withColumn("purchaser", none(e("P_emaildomain"))).withColumn("recipient", none(e("R_emaildomain"))).withColumn("place", place).withColumn("browser", none(e("id_31")))
 
 

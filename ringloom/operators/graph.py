@@ -36,11 +36,18 @@ def rarity(size, base: float = SETTINGS.rarity_base):
     return (F.lit(1.0) / F.log(F.lit(base) + size)).cast("float")
 
 
+def triangle(df: DataFrame, key: list[str], least: int = 2) -> DataFrame:
+    """key, src < dst: all pairs of the user_ids of a group whose size is bounded, from one sorted
+    list a group, so each pair is made once."""
+    g = df.groupBy(*key).agg(F.array_sort(F.collect_set("user_id")).alias("ids")).where(F.size("ids") >= least)
+    one = g.select(*key, "ids", F.posexplode("ids").alias("i", "src"))
+    return one.select(*key, "src", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("dst"))
+
+
 def relation_pairs(cap: DataFrame, base: float = SETTINGS.rarity_base) -> DataFrame:
-    """rel, bit, entity, src < dst, size, w: every pair of accounts that shares an entity."""
-    a = cap.select("rel", "bit", "entity", "size", F.col("user_id").alias("src"))
-    b = cap.select("rel", "entity", F.col("user_id").alias("dst"))
-    return a.join(b, ["rel", "entity"]).where("src < dst").withColumn("w", rarity(F.col("size"), base))
+    """rel, bit, entity, src < dst, size, w: every pair of accounts that shares an entity. cap bounds
+    an entity's accounts, so its list is short, and the lists need no exchange after the cap's join."""
+    return triangle(cap, ["rel", "entity", "bit", "size"]).withColumn("w", rarity(F.col("size"), base))
 
 
 def aggregate_edges(pairs: DataFrame, alphas: DataFrame | None = None) -> DataFrame:
@@ -78,18 +85,23 @@ def prune(edges: DataFrame, scores: DataFrame, tau: float = SETTINGS.tau) -> Dat
     return edges if tau <= 0 else induced(edges, scores.where(F.col("score") > tau))
 
 
+def inner_edges(edges: DataFrame, members_: DataFrame) -> DataFrame:
+    """ring_id and the edge's columns, for each edge inside a ring of members_(ring_id, user_id). Pairs of
+    a ring's accounts are joined, not all edges of each account; rings are of bounded size."""
+    return triangle(members_, ["ring_id"]).join(edges, ["src", "dst"])
+
+
 def subgraph_totals(edges: DataFrame, members_: DataFrame, scores: DataFrame, lambda_: float) -> DataFrame:
     """members_(ring_id, user_id) -> ring_id, size, internal_weight, score_mass, density."""
     m = members_.select("ring_id", "user_id").distinct()
-    a, b = m.withColumnRenamed("user_id", "src"), m.withColumnRenamed("user_id", "dst")
-    inner = edges.join(a, "src").join(b, ["ring_id", "dst"]).groupBy("ring_id").agg(F.sum(F.col("weight").cast("double")).alias("internal_weight"))
+    inner = inner_edges(edges, m).groupBy("ring_id").agg(F.sum(F.col("weight").cast("double")).alias("internal_weight"))
     mass = m.join(scores, "user_id", "left").groupBy("ring_id").agg(F.count("*").alias("size"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score_mass"))
     return mass.join(inner, "ring_id", "left").fillna(0.0, ["internal_weight"]).withColumn("density", (F.col("internal_weight") + lambda_ * F.col("score_mass")) / F.col("size"))
 
 
 def close_neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """seeds(user_id) and all accounts within so many hops: an edge that touches the set
-    adds both ends. Stops when nothing is added."""
+    adds both ends."""
     found = seeds.select("user_id").distinct()
     ways = both_ways(edges.select("src", "dst"))
     for _ in range(hops):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ringloom.config import RELATIONS, SETTINGS
 
+from .running import hash_bucket, running_sum
+
 
 def hash_rank(seed: int, column: str):
     """md5 of seed and id: a reproducible random order."""
@@ -16,9 +18,8 @@ def hash_rank(seed: int, column: str):
 def split(nodes: DataFrame, held_out: float = SETTINGS.held_out, validation: float = SETTINGS.validation, seed: int = SETTINGS.seed) -> DataFrame:
     """user_id, label, fold (test, val, train): stratified, disjoint by account. Of each label's
     accounts in hash order the first part is held out, then a part of the rest validates."""
-    known = nodes.where("label >= 0").withColumn("h", hash_rank(seed, "user_id"))
-    w = Window.partitionBy("label")
-    x = known.withColumn("r", F.row_number().over(w.orderBy("h", "user_id"))).withColumn("n", F.count("*").over(w))
+    known = nodes.where("label >= 0").select("user_id", "label", hash_rank(seed, "user_id").alias("h"), F.lit(1).alias("one"))
+    x = running_sum(known, "one", hash_bucket("h"), ["h", "user_id"], ("label",), "r").withColumnRenamed("r_total", "n")
     test = F.bround(F.col("n") * held_out, 0)
     val = F.bround((F.col("n") - test) * validation, 0)
     return x.select("user_id", "label", F.when(F.col("r") <= test, "test").when(F.col("r") <= test + val, "val").otherwise("train").alias("fold"))
@@ -26,24 +27,28 @@ def split(nodes: DataFrame, held_out: float = SETTINGS.held_out, validation: flo
 
 def label_subsets(train: DataFrame, fractions: tuple[float, ...], seed: int = SETTINGS.seed) -> DataFrame:
     """fraction, user_id, label: nested stratified parts of train(user_id, label), hash order."""
-    w = Window.partitionBy("label")
-    x = train.withColumn("r", F.row_number().over(w.orderBy(hash_rank(seed, "user_id"), "user_id"))).withColumn("n", F.count("*").over(w))
+    one = train.select("user_id", "label", hash_rank(seed, "user_id").alias("h"), F.lit(1).alias("one"))
+    x = running_sum(one, "one", hash_bucket("h"), ["h", "user_id"], ("label",), "r").withColumnRenamed("r_total", "n")
     return x.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions)))).where(F.col("r") <= F.greatest(F.bround(F.col("n") * F.col("fraction"), 0), F.lit(1))).select("fraction", "user_id", "label")
 
 
+def steps(scored: DataFrame) -> DataFrame:
+    """scored(label 0/1, score) -> score, tp, fp, precision, recall and the recall gained (step) at
+    each distinct score and above. Rows are added up per score first; the running sums go by steps of the score."""
+    g = scored.where("label >= 0").groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), (F.count("*") - F.sum(F.col("label").cast("long"))).alias("q"))
+    step, order = -F.floor(F.col("score") * 4096), [F.desc("score")]
+    x = running_sum(running_sum(g, "p", step, order, name="tp"), "q", step, order, name="fp").withColumnRenamed("tp_total", "all")
+    return x.select("score", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("all") > 0, F.col("tp") / F.col("all")).alias("recall"), F.when(F.col("all") > 0, F.col("p") / F.col("all")).alias("step"))
+
+
 def curve(scored: DataFrame) -> DataFrame:
-    """scored(label 0/1, score) -> score, tp, fp, precision, recall at each distinct score and above.
-    Rows are added up per score first, so the running sum is over distinct scores."""
-    g = scored.where("label >= 0").groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    x = g.select("score", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(Window.partitionBy()).alias("all"))
-    return x.select("score", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("all") > 0, F.col("tp") / F.col("all")).alias("recall"))
+    """The precision-recall curve: score, tp, fp, precision, recall, equal scores as one point."""
+    return steps(scored).drop("step")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: average_precision (steps, not trapezoids; null with one class), positives, negatives."""
-    w = Window.orderBy(F.desc("score"))
-    x = curve(scored).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
+    x = steps(scored)
     one = x.agg(F.sum(F.col("step") * F.col("precision")).alias("ap"), F.max("tp").alias("positives"), F.max("fp").alias("negatives"))
     return one.select(F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("ap")).alias("average_precision"), "positives", "negatives")
 
@@ -85,7 +90,8 @@ def precision_at_k(scored: DataFrame, ks: tuple[int, ...] = (100, 500, 1000, 500
 def relation_lift(edges: DataFrame, visible: DataFrame, least: int = 500, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
     """rel, pairs, ff_rate, p, lift, alpha for edges(src, dst, relation_mask) between visible(user_id,
     label) accounts: how much oftener both ends are fraud than by chance; alpha is lift over the mean
-    of measured relations, and 1 for those with fewer pairs than `least` or no fraud."""
+    of measured relations, and 1 for those with fewer pairs than `least`. A measured relation without
+    fraud has lift 1."""
     a = visible.select(F.col("user_id").alias("src"), F.col("label").cast("double").alias("l1"))
     b = visible.select(F.col("user_id").alias("dst"), F.col("label").cast("double").alias("l2"))
     e = edges.select("src", "dst", "relation_mask").join(a, "src").join(b, "dst")
@@ -93,7 +99,7 @@ def relation_lift(edges: DataFrame, visible: DataFrame, least: int = 500, relati
     per = e.select("relation_mask", "l1", "l2", F.explode(bits).alias("x")).where("(shiftright(relation_mask, x.bit) & 1) = 1")
     s = per.groupBy("x.rel").agg(F.count("*").alias("pairs"), F.avg(F.col("l1") * F.col("l2")).alias("ff_rate"), F.avg((F.col("l1") + F.col("l2")) / 2).alias("p"))
     every = edges.sparkSession.createDataFrame([(r,) for r in relations], "rel string").join(s, "rel", "left").fillna(0, ["pairs"])
-    lift = F.when((F.col("pairs") >= least) & (F.col("p") > 0), F.col("ff_rate") / (F.col("p") * F.col("p")))
+    lift = F.when(F.col("pairs") >= least, F.when(F.col("p") > 0, F.col("ff_rate") / (F.col("p") * F.col("p"))).otherwise(1.0))
     x = every.withColumn("lift", lift).withColumn("mean", F.avg("lift").over(Window.partitionBy()))
     return x.select("rel", "pairs", "ff_rate", "p", "lift", F.coalesce(F.when(F.col("mean") > 0, F.col("lift") / F.col("mean")), F.lit(1.0)).alias("alpha"))
 

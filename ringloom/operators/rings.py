@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringloom.config import SETTINGS
 
-from .graph import long_form
+from .graph import inner_edges, long_form
 
 
 def label_counts(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -52,18 +52,22 @@ def hostel_test(clusters: DataFrame, mem: DataFrame, relation: str, edges: DataF
     return clusters.join(per, "entity").join(e, "entity", "left").fillna(0, ["internal_edges", "relation_diversity"])
 
 
-def evidence(ring_members: DataFrame, orders: DataFrame, active: int, least: float = 0.15, platform: float = 0.05, top: int = 12) -> DataFrame:
-    """ring_id, rel, entity, users, coverage, global_users, strength, place: entities that many members
-    share and few others do, by coverage over ln(2 + global users), at most `top` a ring."""
-    long = long_form(orders).select("rel", "entity", "user_id").distinct()
+def evidence(ring_members: DataFrame, orders: DataFrame, least: float = 0.15, platform: float = 0.05, top: int = 12) -> DataFrame:
+    """ring_id, rel, entity, users, coverage, global_users, rarity, place: entities that a share of the
+    members has and few others do. An entity of more than a share of the platform (all ids up to the
+    largest) explains nothing. In order of coverage times rarity (both to four places), then relation and
+    entity, at most `top` a ring."""
+    long = long_form(orders).select("rel", "bit", "entity", "user_id").distinct()
     size = long.groupBy("rel", "entity").agg(F.count("*").alias("global_users"))
+    ids = orders.agg((F.max("user_id") + 1).alias("ids"))  # a single row
+    size = size.crossJoin(F.broadcast(ids)).where(F.col("global_users") <= platform * F.col("ids")).drop("ids")
     m = ring_members.select("ring_id", "user_id").distinct()
     n = m.groupBy("ring_id").agg(F.count("*").alias("n"))
-    got = m.join(long, "user_id").groupBy("ring_id", "rel", "entity").agg(F.count("*").alias("users")).join(n, "ring_id")
-    got = got.withColumn("coverage", F.col("users") / F.col("n")).where((F.col("coverage") >= least) & (F.col("users") >= 2)).join(size, ["rel", "entity"]).where(F.col("global_users") <= platform * active)
-    got = got.withColumn("strength", F.round(F.col("coverage") / F.log(2.0 + F.col("global_users")), 9))
-    place = F.row_number().over(Window.partitionBy("ring_id").orderBy(F.desc("strength"), "rel", "entity"))
-    return got.withColumn("place", place).where(F.col("place") <= top).select("ring_id", "rel", "entity", "users", "coverage", "global_users", "strength", "place")
+    got = m.join(long, "user_id").groupBy("ring_id", "rel", "bit", "entity").agg(F.count("*").alias("users")).join(n, "ring_id")
+    got = got.withColumn("coverage", F.col("users") / F.col("n")).where(F.col("coverage") >= least).join(size, ["rel", "entity"])
+    got = got.withColumn("coverage", F.bround("coverage", 4)).withColumn("rarity", F.bround(1 / F.log(SETTINGS.rarity_base + F.col("global_users")), 4))
+    place = F.row_number().over(Window.partitionBy("ring_id").orderBy(F.desc(F.round(F.col("coverage") * F.col("rarity"), 9)), "bit", "entity"))
+    return got.withColumn("place", place).where(F.col("place") <= top).select("ring_id", "rel", "entity", "users", "coverage", "global_users", "rarity", "place")
 
 
 def ring_orders(ring_members: DataFrame, orders: DataFrame, subsidy: float = SETTINGS.subsidy_per_promo, value: float = SETTINGS.value_per_order) -> DataFrame:
@@ -82,20 +86,41 @@ def promo_by_day(ring_members: DataFrame, orders: DataFrame, lo: int, hi: int) -
     return grid.join(x, ["ring_id", "day_ordinal"], "left").fillna(0, ["promo_orders"])
 
 
-def ring_features(ring_members: DataFrame, edges: DataFrame, scores: DataFrame, behaviour: DataFrame, rare: int = SETTINGS.rare_entity) -> DataFrame:
-    """Label-free features of a ring: scores, inner edges, behaviour."""
+#: Names and order of the ring features are a fixed interface.
+RING_FEATURES = ("size", "density", "internal_weight_per_member", "score_mass_per_member", "relation_kinds", "top_entity_coverage", "top_entity_platform_count", "top_entity_rarity", "rare_edge_share", "score_mean", "score_median", "score_min", "score_p10", "score_std", "orders_per_member", "promo_share", "busiest_day_share", "day_span", "active_days_per_member", "tau", "lambda")
+
+
+def ring_features(ring_members: DataFrame, edges: DataFrame, scores: DataFrame, orders: DataFrame, tau: float = SETTINGS.tau, lambda_: float = SETTINGS.lambda_, rare: int = SETTINGS.rare_entity) -> DataFrame:
+    """ring_id and the 21 label-free features of each ring, for rings found with tau and lambda_. An
+    account without a score has 0."""
     m = ring_members.select("ring_id", "user_id").distinct()
-    x = m.join(scores.select("user_id", "score"), "user_id", "left").join(behaviour.select("user_id", "n_orders", "n_promo_orders", "active_days"), "user_id", "left").fillna(0)
+    x = m.join(scores.select("user_id", "score"), "user_id", "left").fillna(0.0, ["score"])
     s = x.groupBy("ring_id").agg(
-        F.count("*").alias("size"), F.avg("score").alias("score_mean"), F.percentile("score", F.lit(0.5)).alias("score_median"), F.min("score").alias("score_min"), F.percentile("score", F.lit(0.1)).alias("score_p10"), F.stddev_pop("score").alias("score_std"),
-        F.avg("n_orders").alias("orders_mean"), F.avg("active_days").alias("active_days_mean"), (F.sum("n_promo_orders") / F.greatest(F.sum("n_orders"), F.lit(1))).alias("promo_share"),
+        F.count("*").alias("size"), F.sum("score").alias("mass"), F.avg("score").alias("score_mean"), F.percentile("score", F.lit(0.5)).alias("score_median"), F.min("score").alias("score_min"), F.percentile("score", F.lit(0.1)).alias("score_p10"), F.stddev_pop("score").alias("score_std"),
     )
-    a, b = m.withColumnRenamed("user_id", "src"), m.withColumnRenamed("user_id", "dst")
-    e = edges.join(a, "src").join(b, ["ring_id", "dst"]).groupBy("ring_id").agg(
-        F.count("*").alias("pairs"), F.avg(F.col("weight").cast("double")).alias("weight_mean"), F.max(F.col("weight").cast("double")).alias("weight_max"), F.avg((F.col("min_entity_size") <= rare).cast("double")).alias("rare_share"), F.avg("n_relations").alias("relations_mean"), F.bit_count(F.bit_or(F.col("relation_mask").cast("long"))).alias("relation_diversity")
+    e = inner_edges(edges, m).groupBy("ring_id").agg(
+        F.count("*").alias("pairs"), F.sum(F.col("weight").cast("double")).alias("weight"), F.bit_count(F.bit_or(F.col("relation_mask").cast("long"))).alias("relation_kinds"), F.min("min_entity_size").alias("top_entity_platform_count"), F.avg((F.col("min_entity_size") <= rare).cast("double")).alias("rare_edge_share")
     )
-    y = s.join(e, "ring_id", "left").fillna(0)
-    return y.withColumn("pair_coverage", F.when(F.col("size") > 1, 2 * F.col("pairs") / (F.col("size") * (F.col("size") - 1))).otherwise(0.0))
+    # an account's orders by day first: rings share accounts
+    per = orders.groupBy("user_id", "day_ordinal").agg(F.count("*").alias("k"), F.count("r6").alias("p"))
+    day = m.join(per, "user_id").groupBy("ring_id", "day_ordinal").agg(F.sum("k").alias("k"), F.sum("p").alias("p"))
+    d = day.groupBy("ring_id").agg(F.sum("k").alias("orders"), F.sum("p").alias("promo"), F.max("k").alias("top"), F.min("day_ordinal").alias("lo"), F.max("day_ordinal").alias("hi"), F.count("*").alias("days"))
+    y = s.join(e, "ring_id", "left").join(d, "ring_id", "left").withColumn("day_span", F.coalesce(F.col("hi") - F.col("lo") + 1, F.lit(0))).fillna(0)
+    n, count = F.col("size"), F.col("top_entity_platform_count")
+    named = {
+        "density": (F.col("weight") + lambda_ * F.col("mass")) / n,
+        "internal_weight_per_member": F.col("weight") / n,
+        "score_mass_per_member": F.col("mass") / n,
+        "top_entity_coverage": F.col("pairs") / F.greatest(n * (n - 1) / 2, F.lit(1)),
+        "top_entity_rarity": F.when(count > 0, 1 / F.log(2.0 + count)).otherwise(0.0),
+        "orders_per_member": F.col("orders") / n,
+        "promo_share": F.col("promo") / F.greatest(F.col("orders"), F.lit(1)),
+        "busiest_day_share": F.when(F.col("orders") > 0, F.col("top") / F.col("orders")).otherwise(0.0),
+        "active_days_per_member": F.col("days") / n,
+        "tau": F.lit(float(tau)),
+        "lambda": F.lit(float(lambda_)),
+    }
+    return y.select("ring_id", *(named.get(c, F.col(c)).cast("double").alias(c) for c in RING_FEATURES))
 
 
 def ring_similarity(left: DataFrame, right: DataFrame, theta: float) -> DataFrame:
@@ -155,26 +180,59 @@ def precision_at_budget(ranked: DataFrame, nodes: DataFrame, budgets: tuple[int,
     return c.withColumn("precision", F.when(F.col("labelled") > 0, F.col("fraud") / F.col("labelled")))
 
 
-def offers(orders: DataFrame, scores: DataFrame, nodes: DataFrame, ring_of: DataFrame, relations: tuple[str, ...] = ("r6", "r8"), floor: int = 5, ceiling: float = 0.1) -> DataFrame:
+def offers(orders: DataFrame, scores: DataFrame, nodes: DataFrame, ring_of: DataFrame, relations: tuple[str, ...] = ("r6", "r7", "r8"), floor: int = 5, ceiling: float = 0.1) -> DataFrame:
     """One row per offer (rel, entity) that floor accounts or more, and at most a share of all active
-    ones, redeemed: redeemers, in_ring, ring_share, rings, mean_score, p90_score, fraud, normal,
-    leakage (ring share plus mean score, both label-free). ring_of(user_id, ring_id)."""
-    active = orders.select("user_id").distinct().count()
-    m = long_form(orders, relations).select("rel", "entity", "user_id").distinct()
-    x = m.join(scores.select("user_id", "score"), "user_id", "left").join(nodes.select("user_id", "label"), "user_id", "left").join(ring_of.select("user_id", "ring_id"), "user_id", "left")
-    g = x.groupBy("rel", "entity").agg(
-        F.count("*").alias("redeemers"), F.count("ring_id").alias("in_ring"), F.count_distinct("ring_id").alias("rings"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"), F.percentile(F.coalesce("score", F.lit(0.0)), F.lit(0.9)).alias("p90_score"),
-        F.count_if(F.col("label") == 1).alias("fraud"), F.count_if(F.col("label") == 0).alias("normal"),
-    ).where(F.col("redeemers").between(floor, int(ceiling * active)))
-    return g.withColumn("ring_share", F.col("in_ring") / F.col("redeemers")).withColumn("leakage", F.round(F.col("ring_share") + F.col("mean_score"), 9))
-
-
-def rank_offers(table: DataFrame, top: int) -> DataFrame:
-    """The top offers by leakage, then redeemers, then entity and relation: with their rank."""
-    key = (F.desc("leakage"), F.desc("redeemers"), "entity", "rel")
+    ones, redeemed: redeemers, in_ring, rings, ring_share and mean_score (the two label-free rankings),
+    p90_score, stake, labelled, fraud, fraud_share. ring_of(user_id, ring_id) may have several
+    rings of an account."""
+    x = _redeemers(orders, relations)
+    most = orders.agg(F.floor(ceiling * F.count_distinct("user_id")).alias("most"))  # a single row
+    ok = x.groupBy("rel", "entity").agg(F.count("*").alias("redeemers")).crossJoin(F.broadcast(most)).where((F.col("redeemers") >= floor) & (F.col("redeemers") <= F.col("most"))).drop("most")
+    rings_ = ring_of.select("user_id", "ring_id").distinct()
+    who = x.join(ok.select("rel", "entity"), ["rel", "entity"]).join(scores.select("user_id", F.coalesce("score", F.lit(0.0)).alias("score")), "user_id", "left").join(nodes.select("user_id", "label"), "user_id", "left").join(rings_.select("user_id").distinct().withColumn("inside", F.lit(1)), "user_id", "left")
+    g = who.groupBy("rel", "entity").agg(
+        F.count("inside").alias("in_ring"), F.round(F.avg(F.coalesce("score", F.lit(0.0))) + 1e-9, 6).alias("mean_score"), F.round(F.percentile(F.coalesce("score", F.lit(0.0)), F.lit(0.9)) + 1e-9, 6).alias("p90_score"),
+        F.count_if(F.col("label") >= 0).alias("labelled"), F.count_if(F.col("label") == 1).alias("fraud"),
+    )
+    several = x.join(ok.select("rel", "entity"), ["rel", "entity"]).join(rings_, "user_id").groupBy("rel", "entity").agg(F.count_distinct("ring_id").alias("rings"))
+    y = ok.join(g, ["rel", "entity"]).join(several, ["rel", "entity"], "left").fillna(0, ["rings"])
+    y = y.withColumn("ring_share", F.bround(F.col("in_ring") / F.col("redeemers"), 6)).withColumn("stake", F.col("redeemers") * SETTINGS.subsidy_per_promo)
+    return y.withColumn("fraud_share", F.when(F.col("labelled") > 0, F.bround(F.col("fraud") / F.col("labelled"), 4)))
+
+
+def _redeemers(orders: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    return long_form(orders, relations).select("rel", "entity", "user_id").distinct()
+
+
+def offer_exclusions(orders: DataFrame, relations: tuple[str, ...] = ("r6", "r7", "r8"), floor: int = 5, ceiling: float = 0.1) -> DataFrame:
+    """rel, too_small, platform_default: entities that are no offers, by why."""
+    most = orders.agg(F.floor(ceiling * F.count_distinct("user_id")).alias("most"))  # a single row
+    n = _redeemers(orders, relations).groupBy("rel", "entity").agg(F.count("*").alias("n")).crossJoin(F.broadcast(most))
+    return n.groupBy("rel").agg(F.count_if(F.col("n") < floor).alias("too_small"), F.count_if((F.col("n") >= floor) & (F.col("n") > F.col("most"))).alias("platform_default"))
+
+
+def rank_offers(table: DataFrame, top: int, by: str = "ring_share") -> DataFrame:
+    """The top offers by ring_share or mean_score, then redeemers, entity and relation: with rank."""
+    key = (F.desc(by), F.desc("redeemers"), "entity", "rel")
     return table.orderBy(*key).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*key)))
 
 
+def random_precision(table: DataFrame, redeemers: DataFrame, nodes: DataFrame, depths: tuple[int, ...] = (10, 25, 50), draws: int = 200, seed: int = SETTINGS.seed) -> DataFrame:
+    """depth, draws, mean, least, most: pooled precision of as many offers drawn at random, `draws`
+    times. table(rel, entity) are the offers, redeemers(rel, entity, user_id) their accounts. A
+    draw takes the smallest md5 of seed, draw and offer; a depth with no more offers than it has none."""
+    d = table.select("rel", "entity").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("rel"), F.col("entity").cast("string")))
+    place = F.row_number().over(Window.partitionBy("draw").orderBy("h", "rel", "entity"))
+    drawn = d.withColumn("h", key).withColumn("rank", place).where(F.col("rank") <= max(depths)).select("draw", "rel", "entity", "rank")
+    first = drawn.join(redeemers, ["rel", "entity"]).groupBy("draw", "user_id").agg(F.min("rank").alias("rank")).join(nodes.where("label >= 0").select("user_id", "label"), "user_id")
+    at = first.withColumn("depth", F.explode(F.array(*(F.lit(k) for k in depths)))).where("rank <= depth")
+    p = at.groupBy("depth", "draw").agg(F.avg("label").alias("precision"))
+    enough = table.agg(F.count("*").alias("offers"))  # a single row
+    p = p.crossJoin(F.broadcast(enough)).where("offers > depth")
+    return p.groupBy("depth").agg(F.count("*").alias("draws"), F.avg("precision").alias("mean"), F.min("precision").alias("least"), F.max("precision").alias("most"))
+
+
 def labels_for(entities: DataFrame) -> DataFrame:
     """Short stable names for entities(rel, entity, first_seen): numbered per relation by first
     appearance, e.g. r6-0001."""
@@ -183,7 +241,30 @@ def labels_for(entities: DataFrame) -> DataFrame:
 
 
 def blend(scored: DataFrame) -> DataFrame:
-    """score with a context share: boosted = score * (1 + context), tie_break = score + 1e-6 context."""
-    return scored.withColumn("boosted", F.col("score") * (1 + F.col("context"))).withColumn("tie_break", F.col("score") + 1e-6 * F.col("context"))
-
-
+    """score with a context share, context over its maximum c: boosted = score * (1 + c),
+    tie_break = score + 1e-6 c."""
+    top = scored.agg(F.max("context").alias("top"))  # a single row
+    c = F.when(F.col("top") > 0, F.col("context") / F.col("top")).otherwise(F.col("context"))
+    x = scored.crossJoin(F.broadcast(top)).withColumn("share", c)
+    return x.withColumn("boosted", F.col("score") * (1 + F.col("share"))).withColumn("tie_break", F.col("score") + 1e-6 * F.col("share")).drop("top", "share")
+
+
+def ring_context(earlier: DataFrame, edges: DataFrame, nodes: DataFrame, rare: int = SETTINGS.rare_entity) -> DataFrame:
+    """user_id, in_previous_ring, previous_ring_confidence, neighbours_in_previous_rings and
+    rare_entity_overlap_with_previous_rings (the share of an account's rare edges that reach a member) of
+    nodes(user_id). earlier(user_id, confidence): members of an earlier window's rings; edges: today's."""
+    ring = earlier.groupBy("user_id").agg(F.max("confidence").alias("confidence"))
+    both = F.array(F.struct(F.col("src").alias("user_id"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("user_id"), F.col("src").alias("nbr")))
+    ways = edges.select(F.explode(both).alias("e"), (F.col("min_entity_size") <= rare).alias("rare")).select("e.*", "rare")
+    hit = ways.join(ring.select(F.col("user_id").alias("nbr"), F.lit(1).alias("hit")), "nbr", "left")
+    near = hit.groupBy("user_id").agg(F.count("hit").alias("neighbours"), F.count_if("rare").alias("rare"), F.count_if(F.col("rare") & F.col("hit").isNotNull()).alias("rare_hit"))
+    x = nodes.select("user_id").join(ring, "user_id", "left").join(near, "user_id", "left")
+    share = F.when(F.col("rare") > 0, F.col("rare_hit") / F.col("rare")).otherwise(0.0)
+    return x.select("user_id", F.col("confidence").isNotNull().cast("double").alias("in_previous_ring"), F.coalesce("confidence", F.lit(0.0)).alias("previous_ring_confidence"), F.coalesce("neighbours", F.lit(0)).alias("neighbours_in_previous_rings"), share.alias("rare_entity_overlap_with_previous_rings"))
+
+
+def assert_horizon(context_days: tuple[int, int], feature_days: tuple[int, int]) -> int:
+    """Days between two windows; raises unless every context day precedes every feature day."""
+    if context_days[1] >= feature_days[0]:
+        raise ValueError(f"context days {context_days} are not before feature days {feature_days}")
+    return feature_days[0] - context_days[1]

@@ -131,16 +131,24 @@ def relation_degrees(spark, sf_dir):
 @query(
     EDGES
     + """, per as (select user_id, day_ordinal, count(*) as k from orders_ group by all), days as (select user_id, count(*) as active_days, max(k) as top from per group by 1),
-base as (select user_id, count(*) as n, count(distinct sku_id) as skus, count(r6) as promos from orders_ group by 1), b as (select * from base join days using (user_id))
-select a.user_id, round(coalesce(avg(n), 0) + 1e-9, 6) as nbr_mean_n_orders, coalesce(max(n), 0) as nbr_max_n_orders, round(coalesce(avg(promos / n), 0) + 1e-9, 6) as nbr_mean_promo_order_rate, round(coalesce(avg(top / n), 0) + 1e-9, 6) as nbr_mean_day_concentration, round(coalesce(avg(1 - skus / n), 0) + 1e-9, 6) as nbr_mean_sku_repeat_rate, round(coalesce(avg((promos > 0)::int), 0) + 1e-9, 6) as nbr_share_promo, round(coalesce(avg(active_days), 0) + 1e-9, 6) as nbr_mean_active_days
-from accounts_ a left join ways_ w on w.node = a.user_id left join b on b.user_id = w.nbr group by 1"""
+base as (select user_id, count(*) as n, count(distinct sku_id) as skus, count(r6) as promos from orders_ group by 1), b as (select * from base join days using (user_id)),
+g as (select w.node as user_id, avg(coalesce(n, 0)) as om, avg(coalesce(n, 0) * coalesce(n, 0)) as oq, avg(coalesce(active_days, 0)) as dm, avg(coalesce(active_days, 0) * coalesce(active_days, 0)) as dq, avg(coalesce(promos / n, 0)) as pm, avg(coalesce(top / n, 0)) as cm from ways_ w left join b on b.user_id = w.nbr group by 1)
+select a.user_id, round(coalesce(om, 0) + 1e-9, 6) as neighbour_orders_mean, round(coalesce(sqrt(greatest(oq - om * om, 0)), 0) + 1e-9, 6) as neighbour_orders_std, round(coalesce(dm, 0) + 1e-9, 6) as neighbour_active_days_mean, round(coalesce(sqrt(greatest(dq - dm * dm, 0)), 0) + 1e-9, 6) as neighbour_active_days_std, round(coalesce(pm, 0) + 1e-9, 6) as neighbour_promo_rate_mean, round(coalesce(cm, 0) + 1e-9, 6) as neighbour_day_concentration_mean, round(case when om > 0 then coalesce(b.n, 0) / greatest(om, 1e-9::double) else 0 end + 1e-9, 6) as orders_vs_neighbour_mean
+from accounts_ a left join g on g.user_id = a.user_id left join b on b.user_id = a.user_id"""
 )
 def neighbour_features(spark, sf_dir):
-    """What neighbours order."""
+    """How neighbours order."""
     o = adapter.orders(spark, sf_dir)
     return rounded(features.neighbour_features(graph.build_graph(o), features.order_features(o), adapter.accounts(spark, sf_dir)))
 
 
+@query()
+def account_features(spark, sf_dir):
+    """The 39 features of all accounts; their families have SQL of their own."""
+    o, e = adapter.orders(spark, sf_dir), edges(spark, sf_dir)
+    return features.build_features(o, e, iterate.core_numbers(e))
+
+
 @query()
 def core_numbers(spark, sf_dir):
     """k-core number of each account; a test holds it against peeling."""
@@ -161,10 +169,10 @@ def delivery_components(spark, sf_dir):
     return iterate.components(e, adapter.accounts(spark, sf_dir))
 
 
-@query(EDGES + ", seeds as (select user_id from accounts_ where label = 1 and user_id % 10 = 1), one as (select user_id from seeds union select nbr from ways_ join seeds on node = user_id) select user_id from one union select nbr from ways_ join one on node = user_id")
+@query(EDGES + ", seeds as (select user_id from accounts_ where label = 1), one as (select user_id from seeds union select nbr from ways_ join seeds on node = user_id) select user_id from one union select nbr from ways_ join one on node = user_id")
 def two_hop_closure(spark, sf_dir):
-    """Every account within two hops of some fraud accounts."""
-    seeds = adapter.accounts(spark, sf_dir).where("label = 1 and user_id % 10 = 1").select("user_id")
+    """Every account within two hops of the fraud accounts."""
+    seeds = adapter.accounts(spark, sf_dir).where("label = 1").select("user_id")
     return graph.close_neighbourhood(seeds, edges(spark, sf_dir), 2)
 
 
@@ -180,13 +188,6 @@ def fragmented_components(spark, sf_dir):
     return rounded(stress.fragment(edges(spark, sf_dir), stress.cells(fraud_components(spark, sf_dir), 5)).select("src", "dst", "weight"))
 
 
-@query()
-def fraud_closure(spark, sf_dir):
-    """Every account within two hops of any fraud account; a test holds it against brute force."""
-    seeds = adapter.accounts(spark, sf_dir).where("label = 1").select("user_id")
-    return graph.close_neighbourhood(seeds, edges(spark, sf_dir), 2)
-
-
 _DEGREE = ", d_ as (select user_id, coalesce(sum(weight::double), 0) as d from accounts_ left join ways_ on node = user_id group by 1), s0 as (select user_id, d, phi as b, phi as t from d_ join (select user_id, case label when 1 then 0.01::double when 0 then -0.01::double else 0.0::double end as phi from accounts_) using (user_id))"
 _STEPS = "".join(
     f", s{i + 1} as (select s.user_id, s.d, s.b + coalesce(x, 0) * (2 * 0.001 / (1 - 4e-6)) - (4e-6 / (1 - 4e-6)) * s.d * s.t as b, coalesce(x, 0) * (2 * 0.001 / (1 - 4e-6)) - (4e-6 / (1 - 4e-6)) * s.d * s.t as t from s{i} s left join (select node, sum(weight::double * n.t) as x from ways_ join s{i} n on n.user_id = nbr group by 1) on node = s.user_id)"
@@ -201,10 +202,17 @@ def propagated_beliefs(spark, sf_dir):
     return rounded(iterate.propagate(edges(spark, sf_dir), prior, 0.001, rounds=3), 9)
 
 
-@query(MEMBERS + "select rel, count(*) as incidences, round(sum(1 / ln(2.0::double + size)) + 1e-9, 6) as weight from capped_ where rel in ('r6', 'r8') group by 1")
+@query()
+def converged_beliefs(spark, sf_dir):
+    """Belief propagation from the labels until terms fall below 1e-6."""
+    prior = adapter.accounts(spark, sf_dir).select("user_id", F.when(F.col("label") == 1, 0.01).when(F.col("label") == 0, -0.01).otherwise(0.0).alias("phi"))
+    return iterate.propagate(edges(spark, sf_dir), prior, 0.001)
+
+
+@query(MEMBERS + "select rel, count(*) as incidences, round(sum(1 / ln(2.0::double + size)) + 1e-9, 6) as weight from capped_ where rel in ('r6', 'r7', 'r8') group by 1")
 def bipartite_incidence(spark, sf_dir):
     """Account-entity edges of the offer relations."""
-    b = iterate.bipartite(graph.capped(graph.members(adapter.orders(spark, sf_dir), ("r6", "r8"))))
+    b = iterate.bipartite(graph.capped(graph.members(adapter.orders(spark, sf_dir), ("r6", "r7", "r8"))))
     return rounded(b.groupBy("rel").agg(F.count("*").alias("incidences"), F.sum("weight").alias("weight")))
 
 
@@ -321,17 +329,17 @@ def neighbour_sample(spark, sf_dir):
 @query(
     EDGES
     + """, w as (select node, nbr, weight from ways_ join accounts_ a on a.user_id = node and a.score > 0.5 join accounts_ b on b.user_id = nbr and b.score > 0.5),
-anchor as (select user_id as anchor from accounts_ where score > 0.5 order by score desc, user_id limit 50),
+anchor as (select user_id as anchor from accounts_ where score > 0.5 order by score desc, user_id limit 500),
 one as (select anchor, nbr as user_id, weight from anchor join w on node = anchor), two as (select o.anchor, w.nbr as user_id, w.weight from one o join w on w.node = o.user_id),
 every as (select anchor, anchor as user_id, 0 as hop, 0.0::double as lost from anchor union all select anchor, user_id, 1, -weight::double from one union all select anchor, user_id, 2, -weight::double from two),
 best as (select anchor, user_id, min((hop, lost)) as b from every group by all)
-select anchor, user_id, b[1]::bigint as hop, row_number() over (partition by anchor order by b, user_id) as place from best"""
+select * from (select anchor, user_id, b[1]::bigint as hop, row_number() over (partition by anchor order by b, user_id) as place from best) where place <= 3000"""
 )
 def anchor_balls(spark, sf_dir):
-    """The two-hop ball of each of the top 50 anchors inside the suspicious accounts."""
+    """The two-hop ball of each of the top 500 anchors inside the suspicious accounts."""
     a = adapter.accounts(spark, sf_dir).where("score > 0.5")
-    anchors = a.orderBy(F.desc("score"), "user_id").limit(50).select(F.col("user_id").alias("anchor"))
-    return rounded(graph.ball(edges(spark, sf_dir), anchors, a.select("user_id"), cap=10_000_000))
+    anchors = a.orderBy(F.desc("score"), "user_id").limit(500).select(F.col("user_id").alias("anchor"))
+    return rounded(graph.ball(edges(spark, sf_dir), anchors, a.select("user_id")))
 
 
 @query(EDGES + ", c as (select user_id, label, score, row_number() over (order by score desc, user_id) as k from accounts_) select c.user_id, round(score + 1e-9, 6) as score, case label when 1 then 'fraud' when 0 then 'normal' else 'unknown' end as label, count(node) as neighbours, count(*) filter (where min_entity_size <= 10 and node is not null) as rare_links from c left join ways_ on node = c.user_id group by all")

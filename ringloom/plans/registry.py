@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import graph_queries, learn_queries, ring_queries  # noqa: E402,F401
+from . import case_queries, graph_queries, learn_queries, ring_queries  # noqa: E402,F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringloom.operators import features, graph, metrics, peel, policy, rings
+from ringloom.operators import graph, iterate, metrics, peel, policy, rings
 from ringloom.sources import adapter
 
 from . import common
@@ -82,14 +82,14 @@ def precision_at_k(spark, sf_dir):
 
 @query(
     EDGES
-    + ", bits as (select unnest(['r1', 'r3', 'r6', 'r7', 'r8']) as rel, unnest([0, 1, 2, 3, 4]) as bit), m as (select rel, a.label::double as l1, b.label::double as l2 from edges_ join accounts_ a on a.user_id = src and a.label >= 0 join accounts_ b on b.user_id = dst and b.label >= 0 join bits on (relation_mask >> bit) & 1 = 1), s as (select rel, count(*) as pairs, avg(l1 * l2) as ff, avg((l1 + l2) / 2) as p from m group by 1), l as (select bits.rel, coalesce(pairs, 0) as pairs, ff, p, case when pairs >= 500 and p > 0 then ff / (p * p) end as lift from bits left join s on s.rel = bits.rel) select rel, pairs, round(ff + 1e-9, 6) as ff_rate, round(p + 1e-9, 6) as p, round(lift + 1e-9, 6) as lift, round(coalesce(lift / avg(lift) over (), 1) + 1e-9, 6) as alpha from l"
+    + ", bits(rel, bit) as (values ('r1', 0), ('r3', 1), ('r6', 2), ('r7', 3), ('r8', 4)), m as (select rel, a.label::double as l1, b.label::double as l2 from edges_ join accounts_ a on a.user_id = src and a.label >= 0 join accounts_ b on b.user_id = dst and b.label >= 0 join bits on (relation_mask >> bit) & 1 = 1), s as (select rel, count(*) as pairs, avg(l1 * l2) as ff, avg((l1 + l2) / 2) as p from m group by 1), l as (select bits.rel, coalesce(pairs, 0) as pairs, ff, p, case when pairs >= 500 then case when p > 0 then ff / (p * p) else 1 end end as lift from bits left join s on s.rel = bits.rel) select rel, pairs, round(ff + 1e-9, 6) as ff_rate, round(p + 1e-9, 6) as p, round(lift + 1e-9, 6) as lift, round(coalesce(lift / avg(lift) over (), 1) + 1e-9, 6) as alpha from l"
 )
 def relation_lift(spark, sf_dir):
     """How much oftener than by chance both ends of an edge are fraud, by relation."""
     return rounded(metrics.relation_lift(edges(spark, sf_dir), _accounts(spark, sf_dir).where("label >= 0")))
 
 
-@query(BASE + " select user_id, round(score * (1 + context) + 1e-9, 6) as boosted, round(score + 1e-6::double * context, 9) as tie_break from (select user_id, score, (user_id % 7) / 7.0::double as context from accounts_)")
+@query(BASE + " select user_id, round(score * (1 + context) + 1e-9, 6) as boosted, round(score + 1e-6::double * context, 9) as tie_break from (select user_id, score, ((user_id % 7) / 7.0::double) / max((user_id % 7) / 7.0::double) over () as context from accounts_)")
 def blended_scores(spark, sf_dir):
     """Scores blended with a context share."""
     b = rings.blend(_accounts(spark, sf_dir).withColumn("context", (F.col("user_id") % 7) / 7.0))
@@ -138,7 +138,7 @@ def hostel_clusters(spark, sf_dir):
 @query(
     EDGE_RINGS
     + _CLUSTERS
-    + """, last_ as (select user_id, max(entity) as entity from members_ join clusters_ using (entity) where rel = 'r1' group by 1), inr as (select distinct user_id, 1.0::double as k from rings_ where ring_id % 5 = 0),
+    + """, last_ as (select user_id, max(entity) as entity from members_ join clusters_ using (entity) where rel = 'r1' group by 1), inr as (select distinct user_id, 1.0::double as k from capped_ where rel = 'r8' and size >= 4),
 p as (select entity, avg(coalesce(k, 0)) as share_in_ring, avg(score) as mean_score, max(score) as max_score from members_ join clusters_ using (entity) join accounts_ using (user_id) left join inr using (user_id) where rel = 'r1' group by 1),
 e as (select a.entity, count(*) as n, bit_count(bit_or(relation_mask)) as d from edges_ join last_ a on a.user_id = src join last_ b on b.user_id = dst and b.entity = a.entity group by 1)
 select entity, size, labelled, normal, round(normal_share + 1e-9, 6) as normal_share, round(share_in_ring + 1e-9, 6) as share_in_ring, round(mean_score + 1e-9, 6) as mean_score, round(max_score + 1e-9, 6) as max_score, coalesce(n, 0) as internal_edges, coalesce(d, 0)::bigint as relation_diversity from clusters_ join p using (entity) left join e using (entity)"""
@@ -147,21 +147,19 @@ def hostel_test(spark, sf_dir):
     """How flagged hostels are, and by what they are linked."""
     mem = graph.members(adapter.orders(spark, sf_dir))
     cl = rings.colocated_clusters(mem, _accounts(spark, sf_dir), "r1", least=8)
-    some = common.rings(spark, sf_dir).where("ring_id % 5 = 0")
-    return rounded(rings.hostel_test(cl, mem, "r1", edges(spark, sf_dir), _accounts(spark, sf_dir), some))
+    groups = graph.capped(mem.where("rel = 'r8'"), least=4).select(F.col("entity").alias("ring_id"), "user_id")
+    return rounded(rings.hostel_test(cl, mem, "r1", edges(spark, sf_dir), _accounts(spark, sf_dir), groups))
 
 
 @query(
     RINGS
-    + """, act as (select count(distinct user_id) as a from orders_), n as (select ring_id, count(*) as n from rings_ group by 1), g as (select ring_id, rel, entity, count(*) as users from rings_ join members_ using (user_id) group by all),
-s as (select ring_id, rel, entity, users, users / n as coverage, size as global_users, round((users / n) / ln(2.0::double + size), 9) as strength from g join n using (ring_id) join sizes_ using (rel, entity), act where users / n >= 0.15 and users >= 2 and size <= 0.05::double * a)
-select ring_id, rel, entity, users, round(coverage + 1e-9, 6) as coverage, global_users, round(strength + 1e-9, 6) as strength, place from (select *, row_number() over (partition by ring_id order by strength desc, rel, entity) as place from s) where place <= 12"""
+    + """, ids as (select max(user_id) + 1 as top from orders_), n as (select ring_id, count(*) as n from rings_ group by 1), g as (select ring_id, rel, bit, entity, count(*) as users from rings_ join members_ using (user_id) group by all),
+s as (select ring_id, rel, bit, entity, users, round_even(users / n, 4) as coverage, size as global_users, round_even(1 / ln(2.0::double + size), 4) as rarity from g join n using (ring_id) join sizes_ using (rel, entity), ids where users / n >= 0.15 and size <= 0.05::double * top)
+select ring_id, rel, entity, users, round(coverage + 1e-9, 6) as coverage, global_users, round(rarity + 1e-9, 6) as rarity, place from (select *, row_number() over (partition by ring_id order by round(coverage * rarity, 9) desc, bit, entity) as place from s) where place <= 12"""
 )
 def ring_evidence(spark, sf_dir):
     """What a ring's members share and few others do."""
-    o = adapter.orders(spark, sf_dir)
-    active = o.select("user_id").distinct().count()
-    return rounded(rings.evidence(common.rings(spark, sf_dir), o, active))
+    return rounded(rings.evidence(common.rings(spark, sf_dir), adapter.orders(spark, sf_dir)))
 
 
 @query(RINGS + ", d as (select ring_id, day_ordinal, count(*) as k, count(r6) as p from rings_ join orders_ using (user_id) group by all) select ring_id, sum(k)::bigint as n_orders, sum(p)::bigint as n_promo_orders, round(max(k) / sum(k) + 1e-9, 6) as top_day_share, sum(p) * 100.0::double as subsidy, sum(k) * 400.0::double as order_value from d group by 1")
@@ -180,25 +178,40 @@ def promo_by_day(spark, sf_dir):
 
 @query(
     EDGE_RINGS
-    + """, b as (select user_id, count(*) as n_orders, count(r6) as n_promo, count(distinct day_ordinal) as days from orders_ group by 1),
-s as (select ring_id, count(*) as size, avg(score) as m, quantile_cont(score, 0.5) as md, min(score) as mn, quantile_cont(score, 0.1) as p10, stddev_pop(score) as sd, avg(n_orders) as om, avg(days) as am, sum(n_promo) / greatest(sum(n_orders), 1) as ps from rings_ join accounts_ using (user_id) join b using (user_id) group by 1),
-e as (select a.ring_id, count(*) as pairs, avg(weight::double) as wm, max(weight::double) as wx, avg((min_entity_size <= 10)::int) as rs, avg(n_relations) as rm, bit_count(bit_or(relation_mask)) as rd from edges_ join rings_ a on a.user_id = src join rings_ b on b.user_id = dst and a.ring_id = b.ring_id group by 1)
-select ring_id, size, round(m + 1e-9, 6) as score_mean, round(md + 1e-9, 6) as score_median, round(mn + 1e-9, 6) as score_min, round(p10 + 1e-9, 6) as score_p10, round(sd + 1e-9, 6) as score_std, round(om + 1e-9, 6) as orders_mean, round(am + 1e-9, 6) as active_days_mean, round(ps + 1e-9, 6) as promo_share, coalesce(pairs, 0) as pairs, round(coalesce(wm, 0) + 1e-9, 6) as weight_mean, round(coalesce(wx, 0) + 1e-9, 6) as weight_max, round(coalesce(rs, 0) + 1e-9, 6) as rare_share, round(coalesce(rm, 0) + 1e-9, 6) as relations_mean, coalesce(rd, 0)::bigint as relation_diversity, round(2 * coalesce(pairs, 0) / (size * (size - 1)) + 1e-9, 6) as pair_coverage from s left join e using (ring_id)"""
+    + """, s as (select ring_id, count(*)::double as size, sum(score) as mass, avg(score) as m, quantile_cont(score, 0.5) as md, min(score) as mn, quantile_cont(score, 0.1) as p10, stddev_pop(score) as sd from rings_ join accounts_ using (user_id) group by 1),
+e as (select a.ring_id, count(*) as pairs, sum(weight::double) as w, avg((min_entity_size <= 10)::int) as rs, min(min_entity_size) as es, bit_count(bit_or(relation_mask)) as kinds from edges_ join rings_ a on a.user_id = src join rings_ b on b.user_id = dst and a.ring_id = b.ring_id group by 1),
+dd as (select ring_id, day_ordinal, count(*) as k, count(r6) as p from rings_ join orders_ using (user_id) group by all),
+d as (select ring_id, sum(k)::double as orders, sum(p) as promo, max(k) as top, (max(day_ordinal) - min(day_ordinal) + 1)::double as span, count(*) as days from dd group by 1),
+f as (select ring_id, size, (coalesce(w, 0) + 5 * mass) / size as density, coalesce(w, 0) / size as internal_weight_per_member, mass / size as score_mass_per_member, coalesce(kinds, 0)::double as relation_kinds, coalesce(pairs, 0) / greatest(size * (size - 1) / 2, 1) as top_entity_coverage, coalesce(es, 0)::double as top_entity_platform_count, case when es > 0 then 1 / ln(2.0::double + es) else 0 end as top_entity_rarity, coalesce(rs, 0) as rare_edge_share,
+ m as score_mean, md as score_median, mn as score_min, p10 as score_p10, sd as score_std, orders / size as orders_per_member, promo / greatest(orders, 1) as promo_share, top / orders as busiest_day_share, span as day_span, days / size as active_days_per_member, 0.5::double as tau, 5.0::double as "lambda" from s left join e using (ring_id) join d using (ring_id))
+select ring_id, """
+    + ", ".join(f'round({c} + 1e-9, 6) as {c}' for c in (f'"{x}"' if x == "lambda" else x for x in rings.RING_FEATURES))
+    + " from f"
 )
 def ring_features(spark, sf_dir):
-    """Label-free features of each ring."""
+    """The 21 label-free features of each ring."""
     o = adapter.orders(spark, sf_dir)
-    return rounded(rings.ring_features(common.rings(spark, sf_dir), graph.build_graph(o), _accounts(spark, sf_dir), features.order_features(o)))
+    return rounded(rings.ring_features(common.rings(spark, sf_dir), graph.build_graph(o), _accounts(spark, sf_dir), o))
 
 
-_NIGHTS = MEMBERS + ", fronts_ as (select entity as ring_id, user_id from capped_ where rel = 'r1' and entity % 2 = 0 and size >= 5), t as (select distinct entity // 2 as ring_id, user_id from capped_ where rel = 'r1' and size >= 5), tonight_ as (select ring_id, user_id from t where ring_id in (select ring_id from t group by 1 having count(*) >= 8)), k as (select f.ring_id as a, t.ring_id as b, count(*) as shared from fronts_ f join tonight_ t using (user_id) group by all), sim_ as (select a, b, shared, shared / (n + m - shared) as jaccard from k join (select ring_id as a, count(*) as n from fronts_ group by 1) using (a) join (select ring_id as b, count(*) as m from tonight_ group by 1) using (b) where shared / (n + m - shared) >= 0.3)"
+_NIGHTS = (
+    MEMBERS
+    + """, days_ as (select day_ordinal, row_number() over (order by day_ordinal) as k, count(*) over () as n from (select distinct day_ordinal from orders_)),
+f0 as (select distinct r1 as ring_id, user_id from orders_ join days_ using (day_ordinal) where k <= n // 2 and r1 is not null),
+fronts_ as (select * from f0 where ring_id in (select ring_id from f0 group by 1 having count(*) between 5 and 100)),
+t as (select distinct entity // 2 as ring_id, user_id from capped_ where rel = 'r1' and size >= 5), tonight_ as (select ring_id, user_id from t where ring_id in (select ring_id from t group by 1 having count(*) >= 8)),
+k as (select f.ring_id as a, t.ring_id as b, count(*) as shared from fronts_ f join tonight_ t using (user_id) group by all), sim_ as (select a, b, shared, shared / (n + m - shared) as jaccard from k join (select ring_id as a, count(*) as n from fronts_ group by 1) using (a) join (select ring_id as b, count(*) as m from tonight_ group by 1) using (b) where shared / (n + m - shared) >= 0.3)"""
+)
 
 
 def _nights(spark, sf_dir):
-    r = common.rings(spark, sf_dir)
-    tonight = r.select(F.expr("ring_id div 2").alias("ring_id"), "user_id").distinct()
+    """r1 groups of the early days, and tonight's, two neighbouring ones of all days as one."""
+    o = adapter.orders(spark, sf_dir)
+    early = graph.windows(o).where("half = 'early'").select("day_ordinal")
+    fronts = graph.capped(graph.members(o.join(F.broadcast(early), "day_ordinal", "left_semi"), ("r1",)), least=5).select(F.col("entity").alias("ring_id"), "user_id")
+    tonight = common.rings(spark, sf_dir).select(F.expr("ring_id div 2").alias("ring_id"), "user_id").distinct()
     ok = tonight.groupBy("ring_id").agg(F.count("*").alias("n")).where("n >= 8").select("ring_id")
-    return r.where("ring_id % 2 = 0"), tonight.join(ok, "ring_id", "left_semi")
+    return fronts, tonight.join(ok, "ring_id", "left_semi")
 
 
 @query(_NIGHTS + " select a, b, shared, round(jaccard + 1e-9, 6) as jaccard from sim_")
@@ -240,17 +253,25 @@ def precision_at_budget(spark, sf_dir):
 
 _OFFERS = (
     RANKED
-    + """, act as (select floor(0.1::double * count(distinct user_id)) as most from orders_), ringof_ as (select user_id, min(ring_id) as ring_id from ranked_ group by 1),
-g as (select rel, entity, count(*) as redeemers, count(ring_id) as in_ring, count(distinct ring_id) as rings, avg(score) as mean_score, quantile_cont(score, 0.9) as p90_score, count(*) filter (where label = 1) as fraud, count(*) filter (where label = 0) as normal from members_ join accounts_ using (user_id) left join ringof_ using (user_id) where rel in ('r6', 'r8') group by all),
-offers_ as (select g.*, in_ring / redeemers as ring_share, round(in_ring / redeemers + mean_score, 9) as leakage from g, act where redeemers between 5 and most)"""
+    + """, act as (select floor(0.1::double * count(distinct user_id)) as most from orders_), inside_ as (select distinct user_id from ranked_), x as (select rel, entity, user_id from members_ where rel in ('r6', 'r7', 'r8')),
+g as (select rel, entity, count(*) as redeemers, count(i.user_id) as in_ring, round(avg(score) + 1e-9, 6) as mean_score, round(quantile_cont(score, 0.9) + 1e-9, 6) as p90_score, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud from x join accounts_ using (user_id) left join inside_ i using (user_id) group by all),
+several as (select rel, entity, count(distinct ring_id) as rings from x join ranked_ using (user_id) group by all),
+offers_ as (select rel, entity, redeemers, in_ring, coalesce(rings, 0) as rings, round_even(in_ring / redeemers, 6) as ring_share, mean_score, p90_score, redeemers * 100.0::double as stake, labelled, fraud, case when labelled > 0 then round_even(fraud / labelled, 4) end as fraud_share from g left join several using (rel, entity), act where redeemers between 5 and most)"""
 )
-_OFFER_COLUMNS = "rel, entity, redeemers, in_ring, rings, round(mean_score + 1e-9, 6) as mean_score, round(p90_score + 1e-9, 6) as p90_score, fraud, normal, round(ring_share + 1e-9, 6) as ring_share, round(leakage + 1e-9, 6) as leakage"
+_OFFER_COLUMNS = "rel, entity, redeemers, in_ring, rings, round(ring_share + 1e-9, 6) as ring_share, round(mean_score + 1e-9, 6) as mean_score, round(p90_score + 1e-9, 6) as p90_score, stake, labelled, fraud, round(fraud_share + 1e-9, 6) as fraud_share"
+_TOP = ", r as (select *, row_number() over (order by {by} desc, redeemers desc, entity, rel) as rank from offers_)"
+_OFFER_PRECISION = _TOP + ", x2 as (select rank, user_id from r join x using (rel, entity) where rank <= 50), f as (select user_id, min(rank) as rank from x2 group by 1) select k::bigint as depth, count(*) as accounts, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0) + 1e-9, 6) as precision from f join accounts_ using (user_id), (select unnest([10, 25, 50]) as k) where rank <= k group by 1"
 
 
 def _offers(spark, sf_dir):
-    ring_of = ranked_rings(spark, sf_dir).groupBy("user_id").agg(F.min("ring_id").alias("ring_id"))
     a = _accounts(spark, sf_dir)
-    return rings.offers(adapter.orders(spark, sf_dir), a, a, ring_of)
+    return rings.offers(adapter.orders(spark, sf_dir), a, a, ranked_rings(spark, sf_dir))
+
+
+def _offer_precision(spark, sf_dir, by):
+    top = rings.rank_offers(_offers(spark, sf_dir), 50, by).select("rank", "rel", "entity")
+    m = graph.members(adapter.orders(spark, sf_dir), ("r6", "r7", "r8")).select("rel", "entity", "user_id")
+    return rounded(rings.precision_at_depth(m.join(F.broadcast(top), ["rel", "entity"]), _accounts(spark, sf_dir), (10, 25, 50)))
 
 
 @query(_OFFERS + f" select {_OFFER_COLUMNS} from offers_")
@@ -259,18 +280,60 @@ def offer_table(spark, sf_dir):
     return rounded(_offers(spark, sf_dir))
 
 
-@query(_OFFERS + f", r as (select *, row_number() over (order by leakage desc, redeemers desc, entity, rel) as rank from offers_) select {_OFFER_COLUMNS}, rank from r where rank <= 50")
+@query(MEMBERS + ", act as (select floor(0.1::double * count(distinct user_id)) as most from orders_) select rel, count(*) filter (where size < 5) as too_small, count(*) filter (where size >= 5 and size > most) as platform_default from sizes_, act where rel in ('r6', 'r7', 'r8') group by 1")
+def offer_exclusions(spark, sf_dir):
+    """Entities that are no offers, by why."""
+    return rings.offer_exclusions(adapter.orders(spark, sf_dir))
+
+
+@query(_OFFERS + _TOP.format(by="ring_share") + f" select {_OFFER_COLUMNS}, rank from r where rank <= 50")
 def offer_ranking(spark, sf_dir):
-    """The 50 offers that leak most."""
+    """The 50 offers with the largest share of redeemers in rings."""
     return rounded(rings.rank_offers(_offers(spark, sf_dir), 50))
 
 
-@query(_OFFERS + ", r as (select *, row_number() over (order by leakage desc, redeemers desc, entity, rel) as rank from offers_), x as (select rank, user_id from r join members_ using (rel, entity) where rank <= 50), f as (select user_id, min(rank) as rank from x group by 1) select k::bigint as depth, count(*) as accounts, count(*) filter (where label >= 0) as labelled, count(*) filter (where label = 1) as fraud, round(count(*) filter (where label = 1) / count(*) filter (where label >= 0) + 1e-9, 6) as precision from f join accounts_ using (user_id), (select unnest([10, 25, 50]) as k) where rank <= k group by 1")
+@query(_OFFERS + _TOP.format(by="mean_score") + f" select {_OFFER_COLUMNS}, rank from r where rank <= 50")
+def offer_ranking_by_score(spark, sf_dir):
+    """The 50 offers with the highest mean score of redeemers."""
+    return rounded(rings.rank_offers(_offers(spark, sf_dir), 50, "mean_score"))
+
+
+@query(_OFFERS + _OFFER_PRECISION.format(by="ring_share"))
 def offer_precision(spark, sf_dir):
-    """Pooled precision over the accounts of the top offers."""
-    top = rings.rank_offers(_offers(spark, sf_dir), 50).select("rank", "rel", "entity")
-    m = graph.members(adapter.orders(spark, sf_dir), ("r6", "r8")).select("rel", "entity", "user_id")
-    return rounded(rings.precision_at_depth(m.join(F.broadcast(top), ["rel", "entity"]), _accounts(spark, sf_dir), (10, 25, 50)))
+    """Pooled precision over the accounts of the top offers by ring share."""
+    return _offer_precision(spark, sf_dir, "ring_share")
+
+
+@query(_OFFERS + _OFFER_PRECISION.format(by="mean_score"))
+def offer_precision_by_score(spark, sf_dir):
+    """Pooled precision over the accounts of the top offers by mean score."""
+    return _offer_precision(spark, sf_dir, "mean_score")
+
+
+@query(
+    _OFFERS
+    + """, h as (select draw, rel, entity, md5('20260902:' || draw::varchar || ':' || rel || ':' || entity::varchar) as h from offers_, (select unnest(range(1, 201)) as draw)),
+drawn as (select * from (select *, row_number() over (partition by draw order by h, rel, entity) as rank from h) where rank <= 50),
+f as (select draw, user_id, min(rank) as rank from drawn join x using (rel, entity) group by all),
+p as (select k as depth, draw, avg(label) as precision from f join accounts_ using (user_id), (select unnest([10, 25, 50]) as k) where label >= 0 and rank <= k group by all)
+select depth::bigint as depth, count(*) as draws, round(avg(precision) + 1e-9, 6) as mean, round(min(precision) + 1e-9, 6) as least, round(max(precision) + 1e-9, 6) as most from p where (select count(*) from offers_) > depth group by 1"""
+)
+def offer_random_precision(spark, sf_dir):
+    """Pooled precision of 200 random draws of as many offers."""
+    m = graph.members(adapter.orders(spark, sf_dir), ("r6", "r7", "r8")).select("rel", "entity", "user_id")
+    return rounded(rings.random_precision(_offers(spark, sf_dir), m, _accounts(spark, sf_dir)))
+
+
+@query(
+    EDGE_RINGS
+    + """, early as (select user_id, max(1 - (ring_id % 1000) / 1000.0::double) as confidence from rings_ group by 1),
+w as (select node as user_id, count(e.user_id) as neighbours, count(*) filter (where min_entity_size <= 10) as rare, count(e.user_id) filter (where min_entity_size <= 10) as rare_hit from ways_ left join early e on e.user_id = nbr group by 1)
+select a.user_id, (confidence is not null)::int::double as in_previous_ring, round(coalesce(confidence, 0) + 1e-9, 6) as previous_ring_confidence, coalesce(neighbours, 0) as neighbours_in_previous_rings, round(case when rare > 0 then rare_hit / rare else 0 end + 1e-9, 6) as rare_entity_overlap_with_previous_rings from accounts_ a left join early using (user_id) left join w on w.user_id = a.user_id"""
+)
+def ring_context(spark, sf_dir):
+    """What an account has to do with given earlier rings."""
+    early = common.rings(spark, sf_dir).groupBy("user_id").agg(F.max(1 - (F.col("ring_id") % 1000) / 1000.0).alias("confidence"))
+    return rounded(rings.ring_context(early, edges(spark, sf_dir), _accounts(spark, sf_dir)))
 
 
 @query(MEMBERS + ", f as (select rel, entity, min(day_ordinal) as first_seen from (select 'r6' as rel, r6 as entity, day_ordinal from orders_ union all select 'r7', r7, day_ordinal from orders_) where entity is not null group by all) select rel, entity, rel || '-' || case when k < 10000 then lpad(k::varchar, 4, '0') else left(k::varchar, 4) end as name from (select *, row_number() over (partition by rel order by first_seen, entity) as k from f)")
@@ -292,26 +355,50 @@ def _economics(spark, sf_dir):
     return policy.economics(common.rings(spark, sf_dir), _accounts(spark, sf_dir).join(v, "user_id", "left"))
 
 
-@query(_ECONOMICS + " select ring_id, size, round(p + 1e-9, 6) as p, round(value_at_stake + 1e-9, 6) as value_at_stake, round(legitimate_exposed + 1e-9, 6) as legitimate_exposed, realised_fraud, realised_normal, round(realised_stake + 1e-9, 6) as realised_stake, round(realised_harm + 1e-9, 6) as realised_harm, review_minutes, round(p * value_at_stake - review_minutes * 10 + 1e-9, 6) as review_value, round(p * value_at_stake - 0.1::double * legitimate_exposed + 1e-9, 6) as hold_value from eco_")
+@query(_ECONOMICS + " select ring_id, size, round(p + 1e-9, 6) as p, round(value_at_stake + 1e-9, 6) as value_at_stake, round(legitimate_exposed + 1e-9, 6) as legitimate_exposed, realised_fraud, realised_normal, round(realised_stake + 1e-9, 6) as realised_stake, round(realised_harm + 1e-9, 6) as realised_harm, review_minutes, round(p * value_at_stake + 1e-9, 6) as review_value, round(p * value_at_stake - (1 - p) * legitimate_exposed * 0.1::double + 1e-9, 6) as hold_value from eco_")
 def ring_economics(spark, sf_dir):
     """What reviewing or holding each ring is worth."""
     return rounded(policy.expected_values(_economics(spark, sf_dir), 0.1))
 
 
+@query(
+    _ECONOMICS
+    + """, g as (select unnest(['hold_all', 'density', 'none']) as policy, unnest([1.0, 0.9, 0.0]::double[]) as stops, unnest([0.1, 0.01, 0.0]::double[]) as harms, unnest([0, 1, 0]) as looks),
+x as (select policy, sum(looks)::bigint as reviewed, sum((policy = 'hold_all')::int)::bigint as held, sum(looks * review_minutes)::bigint as minutes, sum(stops * realised_stake) as stopped, sum(harms * realised_harm) as harmed, sum(realised_stake) as all_stake from eco_, g group by 1)
+select 1::bigint as night, 120::bigint as budget, policy, reviewed, held, minutes, round(stopped + 1e-9, 6) as stopped, round(harmed + 1e-9, 6) as harmed, minutes * 10.0::double as analyst_cost, round(stopped - harmed - minutes * 10 + 1e-9, 6) as net, round(1 - (all_stake - stopped + harmed + minutes * 10) / all_stake + 1e-9, 6) as savings from x"""
+)
+def decision_outcomes(spark, sf_dir):
+    """What holding all rings, reviewing all at an accuracy of 0.9, and doing nothing come to."""
+    e = _economics(spark, sf_dir).withColumn("night", F.lit(1).cast("long"))
+    chosen = e.select("night", F.lit(120).cast("long").alias("budget"), "ring_id", F.explode(F.array(F.struct(F.lit("hold_all").alias("policy"), F.lit("hold").alias("action")), F.struct(F.lit("density").alias("policy"), F.lit("review").alias("action")))).alias("d")).select("night", "budget", "ring_id", "d.*")
+    return rounded(policy.outcomes(chosen, e, 0.1, 0.9, (120,)).where("policy <> 'capacity'"))
+
+
+def _queue(spark, sf_dir):
+    """Peeled rings of a night with their economics."""
+    r = _peeled(spark, sf_dir, density=True)
+    v = adapter.orders(spark, sf_dir).groupBy("user_id").agg((F.count("*") * 400.0).alias("value"), (F.count("r6") * 100.0).alias("stake"))
+    eco = policy.economics(r, _accounts(spark, sf_dir).join(v, "user_id", "left")).join(r.select("ring_id", "density").distinct(), "ring_id")
+    return policy.expected_values(eco, policy.CHURN).withColumn("night", F.lit(1).cast("long"))
+
+
 @query()
 def review_plans(spark, sf_dir):
-    """What each policy reviews in 60, 120 and 240 minutes, of the 200 most valuable rings of a night."""
-    e = policy.expected_values(_economics(spark, sf_dir), 0.1).withColumn("night", F.lit(1).cast("long"))
-    top = e.orderBy(F.desc("review_value"), "ring_id").limit(200).withColumn("density", F.col("review_value") / F.col("review_minutes"))
-    return policy.plan(top, (60, 120, 240))
+    """What each policy reviews and holds of the peeled rings, at each budget of minutes."""
+    return policy.plan(_queue(spark, sf_dir))
 
 
 @query()
 def review_outcomes(spark, sf_dir):
-    """What the plans stop and cost."""
-    e = policy.expected_values(_economics(spark, sf_dir), 0.1).withColumn("night", F.lit(1).cast("long"))
-    top = e.orderBy(F.desc("review_value"), "ring_id").limit(200).withColumn("density", F.col("review_value") / F.col("review_minutes"))
-    return policy.outcomes(policy.plan(top, (60, 120, 240)), top, 0.1)
+    """What the plans stop, harm and save; a test holds plans and outcomes against brute force."""
+    queue = iterate.cut(_queue(spark, sf_dir))
+    return rounded(policy.outcomes(policy.plan(queue), queue))
+
+
+@query()
+def review_decisions(spark, sf_dir):
+    """Review, hold or ignore: the decision on each peeled ring."""
+    return policy.decide(_queue(spark, sf_dir))
 
 
 @query()
@@ -344,12 +431,12 @@ def review_queue(spark, sf_dir):
     return rounded(x.select("ring_id", "size", F.col("realised_fraud").alias("fraud"), "value_at_stake"))
 
 
-def _peeled(spark, sf_dir, half: str | None = None):
+def _peeled(spark, sf_dir, half: str | None = None, density: bool = False):
     """Rings of the pruned graph, of all orders or of one half of the days."""
     a, o = _accounts(spark, sf_dir), adapter.orders(spark, sf_dir)
     if half:
         o = o.join(F.broadcast(graph.windows(o).where(F.col("half") == half).select("day_ordinal")), "day_ordinal", "left_semi")
-    return peel.extract_rings(graph.prune(graph.build_graph(o), a, 0.5), a.where("score > 0.5").select("user_id", "score")).select("ring_id", "user_id")
+    return peel.extract_rings(graph.prune(graph.build_graph(o), a, 0.5), a.where("score > 0.5").select("user_id", "score")).select("ring_id", "user_id", *["density"] * density)
 
 
 @query()

@@ -105,6 +105,93 @@ def test_knapsack_equals_brute_force(seed):
     assert sum(w[got]) <= c and sum(v[got]) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_plans_and_outcomes_equal_brute_force(spark, seed):
+    """A night of seven rings: the plan is the best of all choices, and the money is added up by hand."""
+    rng = random.Random(seed)
+    rows = [(1, i, rng.random(), rng.uniform(100, 5000), rng.uniform(100, 20000), rng.randint(3, 40), rng.random() * 9, rng.uniform(0, 4000), rng.uniform(0, 9000)) for i in range(7)]
+    eco = spark.createDataFrame(rows, "night long, ring_id long, p double, value_at_stake double, legitimate_exposed double, review_minutes long, density double, realised_stake double, realised_harm double")
+    eco = policy.expected_values(eco, 0.1)
+    plans = policy.plan(eco, (60,)).toPandas()
+    hold = {r[1]: r[2] * r[3] - (1 - r[2]) * r[4] * 0.1 for r in rows}
+    gain = {r[1]: max(0.0, r[2] * r[3] - max(hold[r[1]], 0)) for r in rows}
+    minutes = {r[1]: r[5] for r in rows}
+    picked = lambda p, a: set(plans[(plans.policy == p) & (plans.action == a)].ring_id)
+    best = max(sum(gain[i] for i in s) for k in range(8) for s in itertools.combinations(range(7), k) if sum(minutes[i] for i in s) <= 60)
+    first = picked("capacity", "review")
+    assert sum(gain[i] for i in first) == pytest.approx(best) and sum(minutes[i] for i in first) <= 60
+    assert picked("capacity", "hold") == {i for i in range(7) if hold[i] > 0} - first and picked("hold_all", "hold") == set(range(7))
+    dense, left = set(), 60
+    for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+        if r[5] <= left:
+            dense.add(r[1])
+            left -= r[5]
+    assert picked("density", "review") == dense and not picked("density", "hold")
+    got = policy.outcomes(spark.createDataFrame(plans), eco, 0.1, 0.9, (60,)).toPandas().set_index("policy")
+    total = sum(r[7] for r in rows)
+    for name in policy.POLICIES:
+        rev, held = picked(name, "review"), picked(name, "hold")
+        stopped = sum(r[7] * (0.9 if r[1] in rev else 1.0) for r in rows if r[1] in rev | held)
+        harmed = sum(r[8] * 0.1 * (0.1 if r[1] in rev else 1.0) for r in rows if r[1] in rev | held)
+        cost = 10 * sum(minutes[i] for i in rev)
+        assert got.loc[name, ["stopped", "harmed", "analyst_cost"]].tolist() == pytest.approx([stopped, harmed, cost])
+        assert got.loc[name, "savings"] == pytest.approx(1 - (total - stopped + harmed + cost) / total)
+    said = {r.ring_id: r.decision for r in policy.decide(eco, (60,)).collect()}
+    assert said == {i: "review" if i in first else "hold" if hold[i] > 0 else "ignore" for i in range(7)}
+
+
+def test_ring_features_of_a_chain(spark):
+    """Thirty members in a chain that share entities of four, by two relations, three days each."""
+    m = spark.createDataFrame([(1, v) for v in range(30)], "ring_id long, user_id long")
+    e = spark.createDataFrame([(v, v + 1, 0.5, 5, 4) for v in range(29)], "src long, dst long, weight float, relation_mask int, min_entity_size long")
+    s = spark.createDataFrame([(v, v / 30) for v in range(30)], "user_id long, score double")
+    o = spark.createDataFrame([(v, d, 1 if d == 2 else None) for v in range(30) for d in range(3)], "user_id long, day_ordinal long, r6 long")
+    r = rings.ring_features(m, e, s, o, 0.5, 2.0).first()
+    assert tuple(r.asDict()) == ("ring_id", *rings.RING_FEATURES) and len(rings.RING_FEATURES) == 21
+    mass = sum(v / 30 for v in range(30))
+    want = dict(size=30, density=(14.5 + 2 * mass) / 30, relation_kinds=2, top_entity_coverage=29 / 435, top_entity_platform_count=4, top_entity_rarity=1 / np.log(6), rare_edge_share=1, score_median=14.5 / 30, orders_per_member=3, promo_share=1 / 3, busiest_day_share=1 / 3, day_span=3, active_days_per_member=0.1)
+    for k, v in want.items():
+        assert r[k] == pytest.approx(v), k
+    assert r["lambda"] == 2.0 and r.score_std == pytest.approx(np.std([v / 30 for v in range(30)])) and r.score_p10 == pytest.approx(np.percentile([v / 30 for v in range(30)], 10))
+
+
+def test_blend_of_score_and_context(spark):
+    got = rings.blend(spark.createDataFrame([(1, 0.9, 0.0), (2, 0.5, 4.0), (3, 0.1, 4.0)], "user_id long, score double, context double")).orderBy("user_id").collect()
+    assert [r.boosted for r in got] == pytest.approx([0.9, 1.0, 0.2]) and [r.tie_break for r in got] == pytest.approx([0.9, 0.500001, 0.100001], abs=1e-12)
+    with pytest.raises(ValueError):
+        rings.assert_horizon((1, 5), (5, 8))
+    assert rings.assert_horizon((1, 4), (5, 8)) == 1
+
+
+def test_small_balls_have_no_ring(spark):
+    e = spark.createDataFrame(clique(range(4), 1.0), "src long, dst long, weight double")
+    s = spark.createDataFrame([(v, 0.9) for v in range(4)], "user_id long, score double")
+    balls = graph.ball(e, spark.createDataFrame([(0,)], "anchor long"), s.select("user_id"))
+    assert balls.count() == 4 and peel.anchored_rings(e, s, balls, k_min=5).count() == 0 and peel.anchored_rings(e, s, balls, k_min=4).count() == 4
+
+
+def test_lift_of_a_relation_without_fraud(spark):
+    e = spark.createDataFrame([(2 * i, 2 * i + 1, 1 if i < 600 else 2) for i in range(1200)], "src long, dst long, relation_mask int")
+    known = spark.createDataFrame([(v, int(v >= 1200 and v % 2)) for v in range(2400)], "user_id long, label int")
+    got = {r.rel: (r.pairs, r.lift, r.alpha) for r in metrics.relation_lift(e, known).collect()}
+    assert got["r1"] == (600, 1.0, 2.0) and got["r3"] == (600, 0.0, 0.0) and got["r6"] == (0, None, 1.0)
+
+
+def test_running_sums_equal_a_window(spark):
+    rows = [(i % 3, f"{i * 7919 % 1000:03x}", i % 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, h string, v long")
+    from ringloom.operators.running import hash_bucket, running_sum
+
+    got = sorted((r.g, r.h, r.v, r.running, r.running_total) for r in running_sum(df, "v", hash_bucket("h"), ["h", "v"], ("g",)).collect())
+    want = []
+    for g in range(3):
+        mine, so_far = sorted((h, v) for k, h, v in rows if k == g), 0
+        for h, v in mine:
+            so_far += v
+            want.append((g, h, v, so_far, sum(v for _, v in mine)))
+    assert got == sorted(want)
+
+
 # fixpoints
 
 
@@ -176,7 +263,7 @@ def test_card_arm(spark):
         df = df.withColumn(c, F.lit(""))
     got = cards.relations(cards.fingerprint(df)).orderBy("account", "dist1").collect()
     assert [r.account for r in got] == [0, 0, 1]
-    assert [r.device for r in got] == ["x|", None, "x|m"] and [r.place for r in got] == ["7|0", "7|3", None]
+    assert [r.device for r in got] == ["x|", None, "x|m"] and [r.place for r in got] == ["7|0", "7|3", "7|"]
     assert all(r.purchaser is None for r in got)
     lab = cards.account_labels(spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 1)], "account int, isFraud int"))
     assert {r.account: r.label for r in lab.collect()} == {0: 1, 1: 0, 2: 1}
@@ -229,7 +316,7 @@ def test_empty_relation_gives_nothing(spark):
 
 # queries against their SQL
 
-CHECKED = ["account_edges", "top_accounts", "order_features", "graph_features", "propagated_beliefs", "relation_lift", "average_precision", "ring_evidence", "night_matching", "offer_ranking", "order_bursts", "ring_economics"]
+CHECKED = ["neighbour_features", "ring_features", "decision_outcomes", "offer_table", "offer_random_precision", "ring_context", "blended_scores", "region_edges", "early_warnings", "ring_detection", "case_files", "burst_multipliers", "two_hop_closure", "anchor_balls", "account_split", "label_subsets", "account_edges", "top_accounts", "order_features", "graph_features", "propagated_beliefs", "relation_lift", "average_precision", "ring_evidence", "night_matching", "offer_ranking", "order_bursts", "ring_economics"]
 
 
 @pytest.fixture(scope="module")
@@ -256,15 +343,6 @@ def test_query_equals_sql(spark, duck, name):
 # queries over all accounts and rings, without SQL
 
 
-def test_fraud_closure_is_of_all_fraud_accounts(spark):
-    e = registry.QUERIES["account_edges"](spark, SF).toPandas()
-    fraud = set(registry.QUERIES["account_cards"](spark, SF).where("label = 'fraud'").toPandas().user_id)
-    want, pairs = set(fraud), list(zip(e.src, e.dst))
-    for _ in range(2):
-        want |= {b for a, b in pairs if a in want} | {a for a, b in pairs if b in want}
-    assert fraud and {r.user_id for r in registry.QUERIES["fraud_closure"](spark, SF).collect()} == want
-
-
 def test_nights_and_hostels_use_all_peeled_rings(spark):
     from ringloom.plans import ring_queries
 
