@@ -10,7 +10,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,26 +26,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class Hasher:
-    """64-bit word hashes with a bounded cache, as words repeat a lot."""
-
-    def __init__(self, limit: int = 1_000_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, of = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = of(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -61,24 +40,15 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PLAIN = scramble(np.arange(1, 257, dtype=np.uint64))
 #: The same with A-Z as a-z.
 _FOLDED = _PLAIN[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, x)])) for x in (_STEP, _BACK))
-    return _powers[size]
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts that lie one after another in data (UTF-8 bytes), and
     the number of words up to the end of each text. ends: where each text ends.
 
-    A word's hash is a polynomial over random codes of its bytes, from sums up to each byte."""
+    A word's hash is a sum, modulo 2^64, of a mixed number for each byte at each place in
+    the word: two words have equal sums only by chance, however regular they are."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
@@ -91,27 +61,37 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndar
     last = inner.copy()
     last[:-1] &= space[1:] | first[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _power(n)
-    total = np.cumsum((_FOLDED if fold else _PLAIN)[data] * up[:n])
-    before = np.where(a > 0, total[a - 1], np.uint64(0))
-    return scramble((total[b] - before) * down[a]), np.searchsorted(a, ends)
+    if not len(a):
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    gap = np.diff(np.concatenate([[0], a, [n]]))
+    place = np.arange(n) - np.repeat(np.concatenate([[0], a]), gap)
+    each = scramble((_FOLDED if fold else _PLAIN)[data] + place.astype(np.uint64) * _PLACE)
+    total = np.cumsum(each)
+    return scramble(total[b] - total[a] + each[a]), np.searchsorted(a, ends)
 
 
-def text_words(batch: pa.RecordBatch, fold: bool, size: int = 2_000_000):
-    """(first row, [word hashes of each row]) for slices of a batch of about size bytes;
-    null texts have no words."""
-    column = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes of the rows one after another, where each ends) for slices of about
+    size bytes of a column of strings or binaries; nulls are empty."""
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         lo = offsets[row]
-        h, upto = word_hashes(data[lo : offsets[stop]], offsets[row + 1 : stop + 1] - lo, fold)
-        yield row, np.split(h, upto[:-1])
+        yield row, data[lo : offsets[stop]], offsets[row + 1 : stop + 1] - lo
         row = stop
 
 
+def text_words(batch: pa.RecordBatch, fold: bool, size: int = 2_000_000):
+    """(first row, [word hashes of each row]) for slices of a batch of about size bytes;
+    null texts have no words."""
+    for row, data, ends in slices(batch.column(batch.schema.get_field_index("text")), size):
+        h, upto = word_hashes(data, ends, fold)
+        yield row, np.split(h, upto[:-1])
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k neighbours, by doubling; empty when there are fewer than k."""
     if len(h) < k or k < 1:
@@ -142,9 +122,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share; a temporary one only where none is set, on a
+    single machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = getattr(spark.sparkContext, "_ringloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="ringloom-")
         spark.sparkContext._ringloom_dir = conf
     return conf.rstrip("/")

@@ -1,17 +1,15 @@
 """Suffix-array dedup of bytes.
 
 repeats.py brings the places together where 100-byte windows can recur, by
-hashes of their anchors. Here a shard of segments is taken at once: its suffix
-array is built by Larsson-Sadakane refinement (ranks of 8 bytes, then doubled,
-only groups that are not resolved yet being sorted again, until windows are
+hashes of their anchors. Here a task's segments are taken in shards of `most`
+bytes. A shard's suffix array is built by Larsson-Sadakane refinement (ranks of 8 bytes,
+then doubled, only groups that are not resolved yet being sorted again, until windows are
 told apart), Kasai's common prefixes of neighbours are computed (positions that
 follow from the one before are filled in, the rest compared), and runs of
-neighbours with 100 bytes or more in common are the equal windows.
-
-Shards beyond `most` bytes are cut into parts. Each part has its own array and
-sorted list of distinct windows, and parts are merged by binary search of the
-ones in the other. One route has all places of an anchor, so shards of
-different routes have no window in common.
+neighbours with 100 bytes or more in common are the equal windows. Shards are merged by
+binary search of the distinct windows of one in the sorted ones of another, and
+the least place of each window wins. What is first in its task meets the other tasks'
+in the next pass.
 
 One row per input row. Nulls, ties, repeated rows and very long texts: see
 repeats.py. A null or empty text gives zero bytes and the hash of nothing.
@@ -25,18 +23,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import repeats
-from .common import scramble, table
+from .common import scramble, slices, table
 
 WIDTH = 100
 _CODE = scramble(np.arange(1, 257, dtype=np.uint64))
 
 
-def _bytes(text: str | None) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if text else b""
-
-
-def _hashes(raw: bytes) -> np.ndarray:
-    return _CODE[np.frombuffer(raw, np.uint8)]
+def _hashes(column):
+    """Slices of a column: a number for each byte, and where each row's bytes end."""
+    for row, data, ends in slices(column, 40_000):
+        yield row, _CODE[data], ends
 
 
 def _eights(b: np.ndarray) -> np.ndarray:
@@ -137,41 +133,32 @@ def _classes(b: np.ndarray, valid: np.ndarray, loc: np.ndarray, width: int):
     return starts, heads, np.minimum.reduceat(loc[starts], heads)
 
 
-def locate(segments: list[tuple[int, int, bytes]], width: int = WIDTH, most: int = 16_000_000):
-    """Spans (doc, start, end) of bytes that a window covers whose bytes start earlier, too.
-    segments: (doc, start, bytes), sorted by place."""
-    sizes = np.array([len(s[2]) for s in segments])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
+def locate(segments: list[tuple[tuple, int, bytes]], width: int = WIDTH, most: int = 400_000):
+    """(ends, whole, later) for Kind.kernel. segments: (document, start, bytes), sorted by
+    place. most: bytes of a shard, which are cut between segments."""
+    size = np.array([len(s[2]) for s in segments])
+    ends = np.cumsum(size)
+    begin = np.concatenate([[0], ends])
     b = np.frombuffer(b"".join(s[2] for s in segments), np.uint8)
-    seg = np.repeat(np.arange(len(segments)), sizes)
-    at = np.arange(len(b)) - begin[:-1][seg]
-    valid = at <= sizes[seg] - width
-    starts = np.array([s[1] for s in segments])[seg] + at
-    ids = np.unique(np.array([s[0] for s in segments]), return_inverse=True)[1]
-    loc = (ids[seg] << 40) + starts
-    first = loc.copy()
-    # parts are cut between segments
-    parts = np.unique(np.searchsorted(begin, np.arange(0, len(b), most))).tolist() + [len(segments)]
+    at = np.arange(len(b)) - np.repeat(begin[:-1], size)
+    whole = at <= np.repeat(size, size) - width
+    # rows of one doc_id are at the same place, none before another
+    ids = np.unique(np.array([s[0][0] for s in segments]), return_inverse=True)[1]
+    place = (np.repeat(ids, size) << 40) + np.repeat(np.array([s[1] for s in segments]), size) + at
+    first = place.copy()
+    cuts = np.unique(np.searchsorted(begin, np.arange(0, len(b), most))).tolist() + [len(segments)]
     lists = []
-    for p, q in zip(parts[:-1], parts[1:]):
+    for p, q in zip(cuts[:-1], cuts[1:]):
         if p == q:
             continue
         lo, hi = int(begin[p]), int(begin[q])
-        s, heads, low = _classes(b[lo:hi], valid[lo:hi], loc[lo:hi], width)
+        s, heads, low = _classes(b[lo:hi], whole[lo:hi], place[lo:hi], width)
         if len(s):
             first[lo + s] = np.repeat(low, np.diff(np.append(heads, len(s))))
             lists.append((lo + s, heads, low))
     if len(lists) > 1:
         _merge(b, lists, first, width)
-    hit = np.flatnonzero(valid & (first < loc))
-    if not len(hit):
-        return
-    edge = np.bincount(hit, minlength=len(b) + 1) - np.bincount(hit + width, minlength=len(b) + 1)[: len(b) + 1]
-    cover = np.cumsum(edge)[: len(b)] > 0
-    for s in np.unique(seg[hit]).tolist():
-        doc, start, _ = segments[s]
-        for x, y in zip(*repeats._runs(cover[begin[s] : begin[s + 1]])):
-            yield doc, start + int(x), start + int(y)
+    return ends, whole, whole & (first < place)
 
 
 def _merge(b: np.ndarray, lists: list, first: np.ndarray, width: int) -> None:
@@ -201,7 +188,7 @@ def _merge(b: np.ndarray, lists: list, first: np.ndarray, width: int) -> None:
         first[s] = np.repeat(low, np.diff(np.append(heads, len(s))))
 
 
-SUFFIXES = repeats.Kind(width=WIDTH, k=32, units=_bytes, hashes=_hashes, join=bytes, kernel=locate, shard=150_000)
+SUFFIXES = repeats.Kind(width=WIDTH, ks=(32, 72, WIDTH), hashes=_hashes, split=bytes, join=bytes, kernel=locate, shard=150_000, block=1024, heavy=30_000)
 
 
 def _finish(raw: bytes, gone: np.ndarray):

@@ -2,10 +2,10 @@
 
 Ids of a shard's documents, in ascending doc_id order, each document ended by
 END, are split into bit planes. A plane holds one bit of each id, in an order where
-the ids with 0 in the plane before come first. With the ones counted
-up to each block of a plane, the file answers without unpacking ids:
-access(i), rank(id, i) (how often id occurs before i) and select(id, k)
-(where its k-th occurrence is). Planes are packed and zstd-compressed.
+the ids with 0 in the plane before come first. A plane is cut into chunks of CHUNK bits,
+each compressed by itself, and the file's directory has the ones before each chunk, so
+it answers by unpacking one or two chunks a plane: access(i), rank(id, i) (how often id
+occurs before i) and select(id, k) (where its k-th occurrence is).
 
 Documents are dealt by ranges of doc_id and sorted, so shards follow one another.
 Shards are cut at `shard` tokens, at ends of documents, so memory doesn't depend on the
@@ -15,12 +15,15 @@ Texts are encoded a word at a time, with a bounded memory of words: the
 tokenizer's normaliser and splitter treat each stretch between ASCII white space by
 itself, so the ids are those of the whole text.
 
-Null texts are empty and get END alone. Null ids sort first. Repeated rows each get their
-tokens, in order of text. Other columns are not looked at.
+Null texts are empty and get END alone; an empty table gives no files and no rows. Null ids
+sort first. Repeated rows each get their tokens, in order of text. Other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
 import zlib
 
@@ -31,53 +34,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, rows, table
+from .common import cut, table
 
 END = 1
-MAGIC = b"RLWM1\0"
-_BLOCK = 512
+MAGIC = b"RLWM2\0"
+CHUNK = 1 << 16
+BETWEEN = b"<|endoftext|>"
+_HEAD = "<6sBQQQ"
 
 
 class WordEncoder:
-    """ids of whole texts by words, with the tokenizers library."""
-
-    def __init__(self, path: str, limit: int = 900_000):
-        import os
+    """ids of whole texts by words, with the tokenizers library. Up to `limit` words are remembered
+    in each of two generations; the older one goes when the younger is full."""
 
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.between = "<|endoftext|>"
-        self.mark = self.model.token_to_id(self.between)
+        self.mark = self.model.token_to_id(BETWEEN.decode())
         if self.mark is None:
-            raise ValueError(f"the tokenizer has no {self.between}")
+            raise ValueError(f"the tokenizer has no {BETWEEN.decode()}")
         self.known: dict[bytes, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[bytes, bytes] = {}
         self.limit = limit
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, older = self.known, self.older
+        rest = []
+        for w in new:
+            got = older.get(w)
+            if got is not None:
+                known[w] = got
+            elif b"<|" in w:
+                known[w] = self.ids(w.decode("utf-8", "surrogatepass")).tobytes()
+            else:
+                rest.append(w)
+        # many words at once: a special token between them is no part of any, and parts them again
+        for i in range(0, len(rest), 64):
+            part = rest[i : i + 64]
+            ids = self.ids(BETWEEN.join(part).decode("utf-8", "surrogatepass"))
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+            known.update((w, raw[a:z]) for w, a, z in zip(part, [0, *(x + 4 for x in at)], [*at, len(raw)]))
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """texts: UTF-8."""
+        words = [(t or b"").split() for t in texts]
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
         found = [list(map(known.get, ws)) for ws in words]
-        new = list({w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None})
-        plain = [w for w in new if b"<|" not in w]
-        for w in new if len(plain) < len(new) else ():
-            if b"<|" in w:
-                known[w] = np.array(self.ids([w.decode("utf-8", "surrogatepass")])[0], np.uint32).tobytes()
-        # many words at once: a special token between them is no part of any, and parts them again
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.ids([self.between.join(w.decode("utf-8", "surrogatepass") for w in part)])[0], np.uint32)
-            at = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            edges = [0, *(4 * at).tolist(), len(raw)]
-            for k, w in enumerate(part):
-                known[w] = raw[edges[k] + 4 * (k > 0) : edges[k + 1]]
+        new = {w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None}
+        if new:
+            self._learn(new)
         whole = ([known[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids for ws, ids in zip(words, found))
         return [np.frombuffer(b"".join(ids), np.uint32) for ids in whole]
 
@@ -93,61 +105,89 @@ def loaded(path: str) -> WordEncoder:
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """The file of a shard."""
+    """The file of a shard: head, zeros of each plane, ones before each chunk, where each chunk
+    ends, documents, chunks."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    zip_ = zstandard.ZstdCompressor(level=3).compress
-    planes, zeros = [], []
-    cur = ids
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    zeros, ones, frames = [], [], []
+    kind = np.uint16 if bits <= 16 else np.uint32
+    cur = ids.astype(kind)
     for level in range(bits - 1, -1, -1):
-        bit = (cur >> np.uint32(level)) & np.uint32(1) != 0
-        planes.append(zip_(np.packbits(bit, bitorder="little").tobytes()))
-        zeros.append(int(len(bit) - np.count_nonzero(bit)))
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        bit = ((cur >> kind(level)) & kind(1)).astype(bool)
+        before = 0
+        for i in range(0, len(bit), CHUNK):
+            part = bit[i : i + CHUNK]
+            frames.append(zip_(np.packbits(part, bitorder="little").tobytes()))
+            ones.append(before)
+            before += int(np.count_nonzero(part))
+        zeros.append(len(bit) - before)
+        cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])
     known = np.array([d is not None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], np.int64)
     docs = zip_(np.diff(numbers, prepend=0).astype("<i8").tobytes() + known.tobytes() + lengths.astype("<u4").tobytes())
-    head = struct.pack("<6sBQQ", MAGIC, bits, len(ids), len(doc_ids)) + np.array(zeros, "<u8").tobytes() + np.array([len(p) for p in planes] + [len(docs)], "<u8").tobytes()
-    return head + b"".join(planes) + docs
+    stops = np.cumsum([len(docs), *map(len, frames)])
+    directory = (np.array(x, "<u8").tobytes() for x in (zeros, ones, stops))
+    return b"".join([struct.pack(_HEAD, MAGIC, bits, len(ids), len(doc_ids), len(frames)), *directory, docs, *frames])
 
 
 class WaveletMatrix:
-    """A shard's file, read."""
+    """A shard's file, given as bytes or, by open(), mapped from a path. Only the directory is read at
+    first; chunks are unpacked as they are asked for, and the last `most` kept."""
 
-    def __init__(self, data: bytes):
-        magic, self.bits, self.n, self.n_docs = struct.unpack_from("<6sBQQ", data)
+    def __init__(self, data, most: int = 256):
+        magic, self.bits, self.n, self.n_docs, frames = struct.unpack_from(_HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at = struct.calcsize("<6sBQQ")
+        at = struct.calcsize(_HEAD)
+        self._data, self._most, self._held = data, most, {}
         self.zeros = np.frombuffer(data, "<u8", self.bits, at).astype(np.int64)
-        sizes = np.frombuffer(data, "<u8", self.bits + 1, at + 8 * self.bits)
-        at += 8 * (2 * self.bits + 1)
-        unzip = zstandard.ZstdDecompressor().decompress
-        self.planes = []
-        for s in sizes[:-1].tolist():
-            packed = np.frombuffer(unzip(data[at : at + s]), np.uint8)
-            self.planes.append(packed)
-            at += s
-        docs = unzip(data[at : at + int(sizes[-1])])
+        at += 8 * self.bits
+        self._per = frames // self.bits  # chunks of a plane
+        self._ones = np.frombuffer(data, "<u8", frames, at).astype(np.int64).reshape(self.bits, -1)
+        at += 8 * frames
+        stops = np.frombuffer(data, "<u8", frames + 1, at).astype(np.int64)
+        self._edges = at + 8 * (frames + 1) + np.concatenate([[0], stops])
+        docs = self._frame(0)
         d = self.n_docs
         numbers = np.cumsum(np.frombuffer(docs, "<i8", d))
         known = np.frombuffer(docs, np.uint8, d, 8 * d)
         self.doc_ids = [int(x) if k else None for x, k in zip(numbers, known)]
         self.lengths = np.frombuffer(docs, "<u4", d, 9 * d).astype(np.int64)
-        self._ones: list[np.ndarray | None] = [None] * self.bits
 
-    def _bit(self, level: int, i):
-        return (self.planes[level][i >> 3] >> (i & 7)) & 1
+    @classmethod
+    def open(cls, path: str) -> WaveletMatrix:
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def _frame(self, i: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._data[int(self._edges[i]) : int(self._edges[i + 1])])
+
+    def _chunk(self, level: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a chunk, and the ones in the chunk before each 64 of them."""
+        key = level * self._per + c
+        got = self._held.get(key)
+        if got is None:
+            raw = np.frombuffer(self._frame(1 + key), np.uint8)
+            per = np.bitwise_count(np.concatenate([raw, np.zeros(-len(raw) % 64, np.uint8)])).reshape(-1, 64).sum(1, dtype=np.int64)
+            if len(self._held) >= self._most:
+                self._held.pop(next(iter(self._held)))
+            got = self._held[key] = raw, np.concatenate([[0], np.cumsum(per)])
+        return got
+
+    def _bit(self, level: int, i: int) -> int:
+        raw, _ = self._chunk(level, i // CHUNK)
+        i %= CHUNK
+        return int(raw[i >> 3] >> (i & 7)) & 1
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones of a plane before i."""
-        if self._ones[level] is None:
-            per = np.bitwise_count(self.planes[level]).astype(np.int64)
-            pad = np.concatenate([per, np.zeros(-len(per) % (_BLOCK // 8), np.int64)])
-            self._ones[level] = np.concatenate([[0], np.cumsum(pad.reshape(-1, _BLOCK // 8).sum(1))])
-        block = i // _BLOCK
-        a = block * (_BLOCK // 8)
-        ones = int(self._ones[level][block]) + int(np.bitwise_count(self.planes[level][a : i >> 3]).sum())
-        return ones + (int(self.planes[level][i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        if i >= self.n:
+            return self.n - int(self.zeros[level])
+        raw, before = self._chunk(level, i // CHUNK)
+        out, i = int(self._ones[level, i // CHUNK]), i % CHUNK
+        block = i >> 9
+        out += int(before[block]) + int(np.bitwise_count(raw[64 * block : i >> 3]).sum())
+        return out + (int(raw[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -155,7 +195,7 @@ class WaveletMatrix:
             raise IndexError(i)
         out = 0
         for level in range(self.bits):
-            bit, ones = int(self._bit(level, i)), self._rank1(level, i)
+            bit, ones = self._bit(level, i), self._rank1(level, i)
             out = out << 1 | bit
             i = int(self.zeros[level]) + ones if bit else i - ones
         return out
@@ -170,22 +210,18 @@ class WaveletMatrix:
 
     def rank(self, c: int, i: int) -> int:
         """How often id c occurs before place i."""
-        if c >> self.bits:
+        if c < 0 or c >> self.bits or not self.n:
             return 0
-        a, b = self._down(c, min(i, self.n))
+        a, b = self._down(c, max(0, min(i, self.n)))
         return b - a
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) bit of a plane, by halving."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """The place of the k-th (from 0) bit of a plane: its chunk by the directory, then inside."""
+        before = self._ones[level] if bit else np.arange(self._per) * CHUNK - self._ones[level]
+        c = int(np.searchsorted(before, k, "right")) - 1
+        raw, _ = self._chunk(level, c)
+        bits = np.unpackbits(raw, count=min(CHUNK, self.n - c * CHUNK), bitorder="little")
+        return c * CHUNK + int(np.flatnonzero(bits == bit)[k - int(before[c])])
 
     def select(self, c: int, k: int) -> int:
         """The place of the k-th occurrence (from 0) of id c; -1 if there are fewer."""
@@ -197,23 +233,28 @@ class WaveletMatrix:
             at = self._select(level, bit, at - int(self.zeros[level]) * bit)
         return at
 
+    def _plane(self, level: int) -> np.ndarray:
+        raw = b"".join(self._frame(1 + level * self._per + c) for c in range(self._per))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
+
     def ids(self) -> np.ndarray:
         """All ids, in order: the planes' orders undone from the last to the first."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            back = np.empty(self.n, np.uint32)
+            bit = self._plane(level)
+            back = np.empty(self.n, kind)
             z = int(self.zeros[level])
-            back[~bit] = cur[:z]
-            back[bit] = cur[z:] | np.uint32(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~bit)] = cur[:z]
+            back[np.flatnonzero(bit)] = cur[z:] | kind(1 << (self.bits - 1 - level))
             cur = back
-        return cur
+        return cur.astype(np.uint32)
 
 
-def write_shards(docs: DataFrame, path: str, shard: int = 2_000_000) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, folder: str | None = None, shard: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text) -> written table part, seq, n_docs, n_tokens, file (one row, one file a
-    shard, in the shared folder); (part, seq) is the order of the shards. path: the
-    tokenizer's file, on every machine."""
+    shard); (part, seq) is the order of the shards. path: the tokenizer's file, on every machine.
+    folder: where the table is written and stays; without it, a folder of the session in the shared one."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -230,9 +271,10 @@ def write_shards(docs: DataFrame, path: str, shard: int = 2_000_000) -> DataFram
             cols = [[part], [seq], [len(ids)], [len(whole)], [pack(whole, ids, lengths)]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n_docs", "n_tokens", "file"])
 
-        for doc_ids, texts in rows(batches, "doc_id", "text"):
-            for i in range(0, len(texts), 500):
-                for d, e in zip(doc_ids[i : i + 500], encoder.encode(texts[i : i + 500])):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                doc_ids, texts = b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).cast(pa.binary()).to_pylist()
+                for d, e in zip(doc_ids, encoder.encode(texts)):
                     ids.append(d)
                     tokens.append(np.append(e, np.uint32(END)))
                     size += len(tokens[-1])
@@ -242,7 +284,11 @@ def write_shards(docs: DataFrame, path: str, shard: int = 2_000_000) -> DataFram
         if ids:
             yield file()
 
-    return cut(dealt.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"))
+    files = dealt.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary")
+    if folder is None:
+        return cut(files)
+    files.write.parquet(folder)
+    return docs.sparkSession.read.schema(files.schema).parquet(folder)
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -257,16 +303,16 @@ def read_shards(files: DataFrame) -> DataFrame:
     starts = files.select("part", "seq", "n_tokens").withColumn("before", before).join(F.broadcast(bases), "part").select("part", "seq", (F.col("base") + F.col("before")).alias("at"))
 
     def run(batches):
-        for ats, data in rows(batches, "at", "file"):
-            for a, raw in zip(ats, data):
-                m = WaveletMatrix(raw)
+        for b in batches:
+            for i in range(b.num_rows):
+                a, m = b.column(0)[i].as_py(), WaveletMatrix(b.column(1)[i].as_py())
                 ids = m.ids().astype("<u4")
                 ends = np.cumsum(m.lengths)
                 begins = ends - m.lengths
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(m.doc_ids, pa.int64()), pa.array(a + begins), pa.array(m.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "seq", "file").join(F.broadcast(starts) if len(per) < 10_000 else starts, ["part", "seq"]).select("at", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "seq", "file").join(starts, ["part", "seq"]).select("at", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
