@@ -24,8 +24,11 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 import struct
 import zlib
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +46,19 @@ BETWEEN = b"<|endoftext|>"
 _HEAD = "<6sBQQQ"
 
 
+#: Words that the normaliser only lower-cases, and their pieces: the pattern of the tokenizer's file
+#: for visible Latin-1 characters, letters and numbers written out.
+_SIMPLE = re.compile(r"[!-~\xa1-\xff]+").fullmatch
+_LETTERS, _NUMBERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+").findall
+
+
 class WordEncoder:
     """ids of whole texts by words, with the tokenizers library. Up to `limit` words are remembered
-    in each of two generations; the older one goes when the younger is full."""
+    in each of two generations, of which the older goes when the younger is full, and as many
+    pieces of words, as new words are mostly of known pieces."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,43 +66,65 @@ class WordEncoder:
         self.mark = self.model.token_to_id(BETWEEN.decode())
         if self.mark is None:
             raise ValueError(f"the tokenizer has no {BETWEEN.decode()}")
+        names = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # ids that end a piece
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}  # ids as 32-bit numbers
         self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.limit = limit
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _cut(self, between: str, new: list, text: list[str], out: dict) -> None:
+        """out[key] = ids of the key's text, sixteen at once; between parts them, and is marked by
+        the id that ends each (or stands between each two, where it is a special token)."""
+        special = between != " "
+        for i in range(0, len(new), 16):
+            ids = self.ids(between.join(text[i : i + 16]))
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark if special else self.ends[ids])).tolist()
+            begins, stops = ([0, *(x + 4 for x in at)], [*at, len(raw)]) if special else ([0, *(x + 4 for x in at)][:-1], [x + 4 for x in at])
+            if len(stops) != len(new[i : i + 16]):
+                raise ValueError("the tokenizer's file doesn't split words as expected")
+            out.update(zip(new[i : i + 16], (raw[a:z] for a, z in zip(begins, stops))))
+
     def _learn(self, new: set[bytes]) -> None:
-        known, older = self.known, self.older
-        rest = []
+        known, older, pieces = self.known, self.older, self.pieces
+        if len(pieces) > self.limit:
+            pieces.clear()
+        split, rest = [], []
         for w in new:
             got = older.get(w)
             if got is not None:
                 known[w] = got
-            elif b"<|" in w:
-                known[w] = self.ids(w.decode("utf-8", "surrogatepass")).tobytes()
+                continue
+            t = w.decode("utf-8", "surrogatepass")
+            if "<|" in t:
+                known[w] = self.ids(t).tobytes()
+            elif _SIMPLE(t):
+                split.append((w, _PIECES(t.lower())))
             else:
-                rest.append(w)
-        # many words at once: a special token between them is no part of any, and parts them again
-        for i in range(0, len(rest), 64):
-            part = rest[i : i + 64]
-            ids = self.ids(BETWEEN.join(part).decode("utf-8", "surrogatepass"))
-            raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
-            known.update((w, raw[a:z]) for w, a, z in zip(part, [0, *(x + 4 for x in at)], [*at, len(raw)]))
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """texts: UTF-8."""
+                rest.append((w, t))
+        unseen = list({p for _, ps in split for p in ps if p not in pieces})
+        self._cut(" ", unseen, unseen, pieces)
+        known.update((w, b"".join([pieces[p] for p in ps])) for w, ps in split)
+        self._cut(BETWEEN.decode(), [w for w, _ in rest], [t for _, t in rest], known)
+
+    def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[bytes]:
+        """ids of each of texts (UTF-8), with `end` after them, as 32-bit numbers."""
         words = [(t or b"").split() for t in texts]
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         known = self.known
         found = [list(map(known.get, ws)) for ws in words]
-        new = {w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None}
+        new: set[bytes] = set()
+        for ws, ids in zip(words, found):
+            if None in ids:
+                new.update(compress(ws, map(not_, ids)))
         if new:
             self._learn(new)
-        whole = ([known[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids for ws, ids in zip(words, found))
-        return [np.frombuffer(b"".join(ids), np.uint32) for ids in whole]
+        return [b"".join(map(known.__getitem__, ws) if None in ids else ids) + end for ws, ids in zip(words, found)]
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -262,22 +295,22 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, shard: i
         encoder = loaded(path)
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
-        tokens: list[np.ndarray] = []
-        size = 0
+        tokens: list[bytes] = []
+        size, end = 0, np.uint32(END).tobytes()
 
         def file():
-            lengths = np.array([len(t) for t in tokens], np.int64)
-            whole = np.concatenate(tokens)
+            lengths = np.array([len(t) // 4 for t in tokens], np.int64)
+            whole = np.frombuffer(b"".join(tokens), np.uint32)
             cols = [[part], [seq], [len(ids)], [len(whole)], [pack(whole, ids, lengths)]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n_docs", "n_tokens", "file"])
 
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 doc_ids, texts = b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).cast(pa.binary()).to_pylist()
-                for d, e in zip(doc_ids, encoder.encode(texts)):
+                for d, e in zip(doc_ids, encoder.encode(texts, end)):
                     ids.append(d)
-                    tokens.append(np.append(e, np.uint32(END)))
-                    size += len(tokens[-1])
+                    tokens.append(e)
+                    size += len(e) // 4
                     if size >= shard:
                         yield file()
                         ids, tokens, size, seq = [], [], 0, seq + 1
@@ -300,7 +333,8 @@ def read_shards(files: DataFrame) -> DataFrame:
         at += r.n
     bases = files.sparkSession.createDataFrame(base, "part int, base long")
     before = F.expr("coalesce(sum(n_tokens) over (partition by part order by seq rows between unbounded preceding and 1 preceding), 0)")
-    starts = files.select("part", "seq", "n_tokens").withColumn("before", before).join(F.broadcast(bases), "part").select("part", "seq", (F.col("base") + F.col("before")).alias("at"))
+    # written, so that its size is known: files move only where there are very many of them
+    starts = cut(files.select("part", "seq", "n_tokens").withColumn("before", before).join(bases, "part").select("part", "seq", (F.col("base") + F.col("before")).alias("at")))
 
     def run(batches):
         for b in batches:
