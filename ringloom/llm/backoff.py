@@ -3,9 +3,11 @@
 The score of a document is the sum over its words of ln S, with counts of all
 other documents (its own are taken off, else nothing would ever back off):
 
-    S(w | v) = c(v w) / c(v)         where c(v w) > 0
-             = 0.4 * c(w) / N        otherwise; and c(w) / N for a first word
-    with 1 / 2 in place of c(w) = 0, and N the number of words
+    S(w | u v) = c(u v w) / c(u v)     where c(u v w) > 0
+               = 0.4 * S(w | v)        otherwise
+    S(w)       = c(w) / N, with 1 / 2 in place of c(w) = 0, and N the number of words
+
+up to `order` words together; a word with fewer before it starts with those.
 
 1. Documents are exploded into n-grams in blocks of about `block` words, and a block sends
    each distinct n-gram once, with how often it has it, to the n-gram's hash bucket.
@@ -14,10 +16,12 @@ other documents (its own are taken off, else nothing would ever back off):
 
 Rows carry packed, sorted hashes of a block and bucket rather than one n-gram each: a
 frequent n-gram takes one place a block, so no bucket is hot, and a task holds
-one bucket's distinct n-grams or one block. N-grams are told apart by 56 bits of hash.
+one bucket's distinct n-grams or one block. A block ends after a document, so a very long
+text is a block of its own, in memory whole. N-grams are told apart by 56 bits of hash.
 
-Null texts and texts without words have 0 words, score 0 and a null mean. Null ids and
-repeated rows stay rows of their own; repeated rows count each other as other documents.
+Null texts and texts without words have 0 words, score 0 and a null mean; an empty table gives
+no rows. Null ids and repeated rows stay rows of their own; repeated rows count each other as
+other documents. Columns other than doc_id and text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -46,10 +50,15 @@ def _unzip(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, kind)
 
 
-def bigrams(unigram: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each word with the word before it; first: no word before in the document."""
-    before = np.concatenate([[np.uint64(0)], unigram[:-1]])
-    return np.where(first, np.uint64(0), scramble(before * np.uint64(0x9E3779B97F4A7C15) + unigram) >> _SHIFT)
+def grams(unigram: np.ndarray, begins: np.ndarray, order: int):
+    """For n from 1 to order: (hashes of the n words up to each place, the places that have as many
+    words in their document). begins: of which document each place is, ascending."""
+    g, ok = unigram, np.ones(len(unigram), bool)
+    for n in range(1, order + 1):
+        yield g, np.flatnonzero(ok)
+        before = np.concatenate([[np.uint64(0)], g[:-1]])
+        ok = ok & np.concatenate([[False], ok[:-1] & (begins[1:] == begins[:-1])]) if len(ok) else ok
+        g = scramble(before * np.uint64(0x9E3779B97F4A7C15) + unigram) >> _SHIFT
 
 
 def _counts(h: np.ndarray):
@@ -60,8 +69,8 @@ _ROWS = "block long, bucket long, kind int, n long, hashes binary, counts binary
 _ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
-def _explode(docs: DataFrame, block: int, bits: int) -> DataFrame:
-    """Rows of kind 1 and 2 (requests for words and pairs, a bucket each), and of kind 0: a
+def _explode(docs: DataFrame, block: int, bits: int, order: int) -> DataFrame:
+    """Rows of kind 1 to order (requests for n-grams, a bucket each), and of kind 0: a
     block's documents: hashes: places of words in its sorted words; counts: ids and lengths."""
 
     def run(batches):
@@ -74,15 +83,14 @@ def _explode(docs: DataFrame, block: int, bits: int) -> DataFrame:
             number = part + seq
             lengths = np.array([len(x) for x in held], np.int64)
             h = np.concatenate([np.empty(0, np.uint64), *held])
-            words, place, times = np.unique(h, return_inverse=True, return_counts=True)
-            first = np.zeros(len(h), bool)
-            first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-            pairs, twice = _counts(bigrams(h, first)[~first])
+            place = np.unique(h, return_inverse=True)[1]
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            asked = [_counts(g[at]) for g, at in grams(h, doc, order)]
             numbers = pa.array(ids, pa.int64())
             known = np.array([i is not None for i in ids], np.uint8)
             head = np.array([i or 0 for i in ids], np.int64).tobytes() + known.tobytes() + lengths.tobytes()
             made = [(number, -1, 0, len(h), _zip(place.astype(np.uint32)), np.int64(len(numbers)).tobytes() + head)]
-            for kind, g, c in ((1, words, times), (2, pairs, twice)):
+            for kind, (g, c) in enumerate(asked, 1):
                 bucket = (g >> np.uint64(56 - bits)).astype(np.int64)
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -141,37 +149,39 @@ def _rest(total: np.ndarray, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     return total[item] - own[place]
 
 
-def score_block(h: np.ndarray, lengths: np.ndarray, words: np.ndarray, word_total: np.ndarray, pair_total: np.ndarray, n: int) -> np.ndarray:
-    """Sum of ln S of each document; words, sorted, and pairs, in order of hash, have totals."""
+def score_block(h: np.ndarray, lengths: np.ndarray, totals: list[np.ndarray], n: int) -> np.ndarray:
+    """Sum of ln S of each document; totals: for words, pairs and so on the corpus's counts of the
+    block's distinct ones, in order of hash."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.zeros(len(h), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    item = np.searchsorted(words, h)
     others = np.maximum(n - lengths, 1)[doc]
-    single = _rest(word_total, doc, item)
-    s = np.where(first, 1.0, ALPHA) * np.where(single > 0, single, 0.5) / others
-    at = np.flatnonzero(~first)
-    if len(at):
-        pair = np.unique(bigrams(h, first)[at], return_inverse=True)[1]
-        both = _rest(pair_total, doc[at], pair)
-        s[at] = np.where(both > 0, both / np.maximum(single[at - 1], 1), s[at])
+    s = context = None
+    for (g, at), total in zip(grams(h, doc, len(totals)), totals):
+        count = np.zeros(len(h), np.int64)
+        count[at] = _rest(total, doc[at], np.unique(g[at], return_inverse=True)[1])
+        if s is None:
+            s = np.where(count > 0, count, 0.5) / others
+        else:
+            both = count[at]
+            s[at] = np.where(both > 0, both / np.maximum(context[at - 1], 1), ALPHA * s[at])
+        context = count
     out = np.zeros(len(lengths))
     np.add.at(out, doc, np.log(s))
     return out
 
 
-def stupid_backoff(docs: DataFrame, block: int = 1_000_000) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, log_score (sum of ln S), mean_log_score."""
+def stupid_backoff(docs: DataFrame, order: int = 2, block: int = 1_000_000) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, log_score (sum of ln S), mean_log_score, with n-grams
+    of up to `order` words."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(30, max(4, int(size / 4_000_000).bit_length()))  # buckets of about a million n-grams
-    sent = cut(_explode(slim, block, bits), by="kind")
+    sent = cut(_explode(slim, block, bits, order), by="kind")
     n = int(sent.where("kind = 0").agg(F.sum("n")).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     answers = cut(sent.where("kind > 0").select(*_ARROW.names).repartition(parts, "bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ROWS))
     blocks = spark.read.schema(sent.schema).option("basePath", sent._ringloom_path).parquet(f"{sent._ringloom_path}/kind=0") if n else sent.where("kind = 0")
-    for kind in (1, 2):  # answered
+    for kind in range(1, order + 1):  # answered
         drop_part(sent, f"kind={kind}")
     both = blocks.select(*_ARROW.names).unionByName(answers)
 
@@ -183,9 +193,9 @@ def stupid_backoff(docs: DataFrame, block: int = 1_000_000) -> DataFrame:
         known = np.frombuffer(head, np.uint8, docs_, 8 + 8 * docs_)
         lengths = np.frombuffer(head, np.int64, docs_, 8 + 9 * docs_)
         words = np.concatenate([np.empty(0, np.uint64), *(np.cumsum(_unzip(r[3], np.uint64, r[2]), dtype=np.uint64) for r in got if r[0] == 1)])
-        total = [np.concatenate([np.empty(0, np.int64), *(_unzip(r[4], np.int64, r[2]) for r in got if r[0] == k)]) for k in (1, 2)]
+        total = [np.concatenate([np.empty(0, np.int64), *(_unzip(r[4], np.int64, r[2]) for r in got if r[0] == k)]) for k in range(1, order + 1)]
         h = words[_unzip(place, np.uint32, m)]
-        sums = score_block(h, lengths, words, total[0], total[1], n)
+        sums = score_block(h, lengths, total, n)
         return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_words": lengths, "log_score": sums, "mean_log_score": pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)})
 
     out = both.groupBy("block").applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -194,7 +194,7 @@ def _block(docs: DataFrame, ids: list[int], items: list[list[bytes]], n: int, co
 
         return batches_of(found(), schema)
 
-    return hits.where("item is not null").select("doc_id", "item", "seeds", "first", "words").repartition(64, "doc_id", "first").mapInArrow(verify, _FOUND)
+    return hits.where("item is not null").select("doc_id", "item", "seeds", "first", "words").repartition("doc_id", "first").mapInArrow(verify, _FOUND)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,15 @@ of an order that no other document has is linked with nothing. The orders:
    many documents share come last, where they bring nothing together.
 
 Under each of the last two, documents that share a prefix token are connected, and
-the connected sets of both are intersected. Every true pair lies in one such
-class, so classes can be verified apart from each other, and no pairs are ever
-written: within a class, a breadth-first search compares a document with those
-not reached yet. A class beyond `block` tokens is split into blocks, each pair
+the connected sets of both are intersected: every candidate pair lies in one such
+class, so classes are searched apart from each other, and no pairs are ever
+written. Within a class, a breadth-first search takes as a document's candidates those, not
+reached yet, that share a prefix token with it under one order and under the other, and verifies
+the candidates' whole sets. A class beyond `block` tokens is split into blocks, each pair
 of which is one task, and the links found are connected at the end.
 
+Empty tables give no rows. Repeated rows count once. Texts of any length are one set in memory
+of one task; columns other than doc_id and text, whatever their names, are not looked at.
 Nulls: null texts and texts without words are linked with nothing; rows with a
 null doc_id give no row. Of several texts of one doc_id, the one with the most
 shingles counts (ties: the larger hash).
@@ -84,18 +87,24 @@ def _connected(sets: DataFrame, column: str) -> DataFrame:
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
 
 
-def _search(h: list[np.ndarray], ids: np.ndarray, t: int) -> np.ndarray:
-    """For each set the smallest id that links lead to: breadth first, each set compared
-    only with those not reached yet."""
+def _postings(lists: list[np.ndarray]):
+    """(code of each list's values one after another, where each list ends, owners by code, where
+    each code's owners begin)."""
+    n = np.array([len(x) for x in lists])
+    code = np.unique(np.concatenate(lists), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(lists)), n)[np.argsort(code, kind="stable")]
+    return code, np.concatenate([[0], np.cumsum(n)]), owner, np.concatenate([[0], np.cumsum(np.bincount(code))])
+
+
+def _search(h: list[np.ndarray], prefixes: list[list[np.ndarray]], ids: np.ndarray, t: int) -> np.ndarray:
+    """For each set the smallest id that links lead to: breadth first, each set compared only with
+    those not reached yet whose prefixes meet its own under every order."""
     n = np.array([len(x) for x in h])
-    code = np.unique(np.concatenate(h), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(h)), n)
-    order = np.argsort(code, kind="stable")
-    posting = owner[order]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
-    ends = np.concatenate([[0], np.cumsum(n)])
+    code, ends, _, begin = _postings(h)
+    orders = [_postings(p) for p in prefixes]
     left = np.ones(len(h), bool)
     group = np.arange(len(h))
+    marks = np.zeros(len(begin) - 1, bool)
     for root in range(len(h)):
         if not left[root]:
             continue
@@ -103,16 +112,19 @@ def _search(h: list[np.ndarray], ids: np.ndarray, t: int) -> np.ndarray:
         queue, members = [root], [root]
         while queue:
             i = queue.pop()
-            open_ = np.flatnonzero(left & (100 * n >= t * n[i]) & (100 * n[i] >= t * n))
+            open_ = left & (100 * n >= t * n[i]) & (100 * n[i] >= t * n)
+            for c, e, owner, first in orders:
+                met = np.zeros(len(h), bool)
+                for x in c[e[i] : e[i + 1]].tolist():
+                    met[owner[first[x] : first[x + 1]]] = True
+                open_ &= met
+            open_ = np.flatnonzero(open_)
             if not len(open_):
                 continue
             mine = code[ends[i] : ends[i + 1]]
-            if len(open_) * 8 < len(h):
-                marks = np.zeros(len(begin) - 1, bool)
-                marks[mine] = True
-                both = np.array([np.count_nonzero(marks[code[ends[j] : ends[j + 1]]]) for j in open_])
-            else:
-                both = np.bincount(np.concatenate([posting[begin[c] : begin[c + 1]] for c in mine]), minlength=len(h))[open_]
+            marks[mine] = True
+            both = np.array([np.count_nonzero(marks[code[ends[j] : ends[j + 1]]]) for j in open_.tolist()])
+            marks[mine] = False
             near = open_[100 * both >= t * (n[i] + n[open_] - both)]
             left[near] = False
             queue += near.tolist()
@@ -154,16 +166,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, block: int = 3_
             pool = pool.join(classes.select("doc_id"), "doc_id", "left_semi")
         found = _connected(pool, f"p{j}").withColumnRenamed("c", f"c{j}")
         classes = found if classes is None else classes.join(found, "doc_id")
-    member = cut(sets.join(classes, "doc_id"))
+    member = cut(sets.join(classes, "doc_id").join(front, "doc_id"))
     drop(sets, front)
     size = member.groupBy("c0", "c1").agg(F.count("*").alias("m"), F.sum(F.size("tokens")).alias("all")).where("m > 1").select("c0", "c1", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
     verify = member.join(size, ["c0", "c1"]).withColumn("mine", F.pmod(F.hash("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    verify = verify.select("doc_id", "tokens", "c0", "c1", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    verify = verify.select("doc_id", "tokens", "p0", "p1", "c0", "c1", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def linked(class_: pa.Table) -> pa.Table:
         ids = class_.column("doc_id").to_numpy()
-        sets_ = [np.array(x, np.int64) for c in class_.column("tokens").chunks for x in _split(c)]
-        return pa.table({"a": pa.array(ids), "b": pa.array(_search(sets_, ids, t))})
+        sets_, *prefixes = ([x for c in class_.column(name).chunks for x in _split(c)] for name in ("tokens", "p0", "p1"))
+        return pa.table({"a": pa.array(ids), "b": pa.array(_search(sets_, prefixes, ids, t))})
 
     found = verify.groupBy("c0", "c1", "i", "j").applyInArrow(linked, "a long, b long")
     links = cut(found.where("a <> b").unionByName(copied).distinct())

@@ -13,7 +13,8 @@ Characters without a piece become their UTF-8 bytes' pieces. No other piece cros
 them, nor the place before a word's space mark, so each stretch in between is
 searched once and remembered in a bounded table.
 
-Null texts have no ids, as empty ones. Rows stay one to one, ids null or not. A text of any
+Null texts have no ids, as empty ones. Rows stay one to one, ids null or not, repeated or not;
+an empty table gives an empty one. Kept columns must not be called as the result's own. A text of any
 length is one row; memory grows with its ids alone. Decoding gives the text back,
 except that U+2581, the space mark itself, comes back as a space, and lone surrogates as U+FFFD.
 """
@@ -96,34 +97,11 @@ class Pieces:
             known = self.pairs[a << 20 | b] = self.merge(x + y) == [x, y]
         return known
 
-    def window(self, text: str) -> list[int]:
-        """Ids of a stretch that is one window: all paths converge at its end."""
-        get, known, most, n = self.whole.get, self.pairs.get, self.longest, len(text)
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - most if end > most else 0, end):
-                piece = get(text[start:end])
-                if piece is None:
-                    continue
-                if start:
-                    before = last[start]
-                    ok = known(before << 20 | piece)
-                    if not (self.follows(before, piece) if ok is None else ok):
-                        continue
-                last[end] = piece
-                break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.text[last[n]])
-        return out[::-1]
-
     def stream(self, text: str):
-        """Ids of a stretch of characters that all have pieces, committed as soon as they are sure."""
-        get, follows, most = self.whole.get, self.follows, self.longest
-        if len(text) <= 4 * most:
-            yield from self.window(text)
-            return
+        """Ids of a stretch of characters that all have pieces, committed as soon as they are sure:
+        a window of backpointers goes along, and when it is four times as long as the longest piece, the
+        ids before the boundary on which all paths of its last positions converge leave it."""
+        get, known, most = self.whole.get, self.pairs.get, self.longest
         last: list[int] = []  # the last piece of each prefix in the window
         lengths: list[int] = []
         base = 0  # where the window begins: all paths go through it
@@ -134,13 +112,16 @@ class Pieces:
                 if piece is None:
                     continue
                 before = root if start == base else last[start - base - 1]
-                if before is None or follows(before, piece):
-                    last.append(piece)
-                    lengths.append(end - start)
-                    break
+                if before is not None:
+                    ok = known(before << 20 | piece)
+                    if not (self.follows(before, piece) if ok is None else ok):
+                        continue
+                last.append(piece)
+                lengths.append(end - start)
+                break
             else:
                 raise ValueError(f"no piece ends at {end} of {text!r}")
-            if len(last) >= 4 * most:
+            if end - base >= 4 * most:
                 # the boundaries that all paths of the last `most` prefixes share
                 ends = set(range(end - most + 1, end + 1))
                 while len(ends) > 1:
@@ -233,6 +214,8 @@ def encoded(docs: DataFrame, path: str, others: list[str] | None = None) -> Data
     null for null texts); others: further columns to keep, instead of none. path: the
     model's file, on every machine."""
     others = others or []
+    if {"doc_id", "ids", "n_ids", "round_trip"} & set(others):
+        raise ValueError("a kept column has the name of a result's column")
 
     def run(batches):
         pieces = loaded(path)

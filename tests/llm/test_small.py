@@ -259,11 +259,40 @@ def test_token_files_equal_library(frame):
         want.append((d, at, len(ids), zlib.crc32(ids)))
         at += len(ids)
     for shard in (2_000_000, 100):
-        got = wavelet.read_shards(wavelet.write_shards(frame(docs), path, shard)).collect()
+        got = wavelet.read_shards(wavelet.write_shards(frame(docs), path, shard=shard)).collect()
         assert sorted(tuple(r) for r in got) == want
     assert wavelet.read_shards(wavelet.write_shards(frame([]), path)).count() == 0
 
 
+def test_token_files_stay_in_a_folder_and_open_by_path(spark, frame, tmp_path):
+    import public_tokenizers
+
+    files = wavelet.write_shards(frame([(1, "a b a"), (1, "a b a"), (2, None), (None, "c a")]), public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/tokens")
+    assert spark.read.parquet(f"file://{tmp_path}/tokens").count() == files.count() > 0
+    counts = 0
+    for i, r in enumerate(files.collect()):
+        (tmp_path / f"{i}.rlwm").write_bytes(r.file)
+        m = wavelet.WaveletMatrix.open(str(tmp_path / f"{i}.rlwm"))
+        assert m.n == r.n_tokens and [m.access(j) for j in range(m.n)] == m.ids().tolist()
+        counts += m.rank(wavelet.END, m.n)
+    assert counts == 4
+
+
+def test_wavelet_matrix_over_many_chunks():
+    rng = np.random.default_rng(2)
+    n = 3 * wavelet.CHUNK + 17
+    ids = rng.integers(0, 40, n).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.pack(ids, [1], np.array([n])), most=2)
+    assert (m.ids() == ids).all()
+    for c in (0, 1, 39):
+        places = np.flatnonzero(ids == c)
+        assert m.rank(c, n) == len(places) and m.select(c, len(places)) == -1
+        for k in (0, 1, len(places) // 2, len(places) - 1):
+            assert m.select(c, k) == places[k] and m.rank(c, int(places[k])) == k
+    for i in (0, wavelet.CHUNK - 1, wavelet.CHUNK, n - 1):
+        assert m.access(i) == ids[i]
+
+
 # SentencePiece
 
 
