@@ -7,7 +7,8 @@ with, and different ones stay different:
 - card numbers (13 to 19 digits, or groups 4-4-4-4 or 4-6-5, that pass Luhn): all digits between the first and the check
   digit are permuted, and the check digit is computed anew;
 - phone numbers (with + and a country code, or three groups 3-3-4) and 3-2-4 social
-  security numbers: the digits after the country code, which is told by the digits alone;
+  security numbers: the digits after the country code, which is told by the digits alone. Of ten
+  digits the first is permuted within 0-1 or 2-9, so an area code stays one that is in use;
 - IPv4 addresses (octets up to 255): permuted as 32 bits;
 - ISO dates that exist, 1800-01-01 to 2199-12-31: permuted as days of that 400-year cycle;
 - e-mail addresses (the part before @), access keys, and hexadecimal secrets after
@@ -19,7 +20,9 @@ bytes of SHA-256 over the key, the kind, the round and the other half. IPv4
 addresses and dates use the same with two numbers modulo the sizes of the halves.
 
 A null text stays null and an empty one empty, with no values. One row per input row, ids
-null or not. Texts of any length are handled as a whole.
+null or not, repeated or not; an empty table gives an empty one. Texts of any length are handled as
+a whole. Numbers of the 3-2-4 format are replaced whether or not they were ever given out: one left
+in the clear is worse than one replaced in vain. Columns of the caller, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -69,7 +72,7 @@ def _shifted(half: str, digest: str, hexadecimal: bool) -> str:
         moved = f"substring('0123456789abcdef', 1 + (locate(c, '0123456789abcdef') - 1 + {byte}) % 16, 1)"
     else:
         turn = lambda low, n: f"char({low} + (ascii(c) - {low} + {byte}) % {n})"
-        moved = f"case when c rlike '^[0-9]$' then {turn(48, 10)} when c rlike '^[a-z]$' then {turn(97, 26)} when c rlike '^[A-Z]$' then {turn(65, 26)} else c end"
+        moved = f"case when c rlike '^[0-9]$' then {turn(48, 10)} when c rlike '^[a-z]$' then {turn(97, 26)} when c rlike '^[A-Z]$' then {turn(65, 26)} when c rlike '^[\\\\x01-\\\\x08]$' then {turn(1, 8)} when c rlike '^[\\\\x0E\\\\x0F]$' then {turn(14, 2)} else c end"
     chars = f"filter(split({half}, ''), z -> z <> '')"
     return f"array_join(zip_with(transform({chars}, (c, i) -> struct(c, i)), array_repeat({digest}, length({half})), (x, d) -> element_at(transform(array(x), y -> {moved.replace('(c,', '(y.c,').replace('(c)', '(y.c)').replace('when c ', 'when y.c ').replace('else c ', 'else y.c ').replace('(i %', '(y.i %').replace(' i div', ' y.i div')}), 1)), '')"
 
@@ -114,7 +117,10 @@ def pseudonym(m: str, kind: str, key: str) -> str:
         return _let("v", digits, f"if({_luhn('v', '1')} % 10 = 0, {_filled(m, made)}, {m})")
     if kind in ("phone", "ssn"):
         country = f"if(startswith({m}, '+'), regexp_extract(v, '^({_COUNTRY})', 1), '')"
-        made = _let("w", country, f"concat(w, {_let('u', 'substring(v, 1 + length(w), 64)', permuted('u', kind, key))})")
+        # ten digits: the first as one of eight characters, or of two
+        first = "cast(substring(u, 1, 1) as int)"
+        ten = _let("y", f"concat(char(if({first} >= 2, {first} - 1, {first} + 14)), substring(u, 2, 64))", _let("x", permuted("y", kind, key), "concat(cast(if(ascii(x) <= 8, ascii(x) + 1, ascii(x) - 14) as string), substring(x, 2, 64))"))
+        made = _let("w", country, f"concat(w, {_let('u', 'substring(v, 1 + length(w), 64)', f'if(length(u) = 10, {ten}, {permuted(chr(117), kind, key)})')})")
         return _let("v", digits, _let("q", made, _filled(m, "q")))
     if kind == "ip":
         octet = lambda i: f"cast(element_at(split({m}, '[.]'), {i}) as bigint)"
@@ -142,24 +148,39 @@ def _kind(m: str) -> str:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of docs, with text pseudonymised, plus __values: the kinds of replaced values."""
+def _free(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def pseudonymised(docs: DataFrame, key: str, values: str = "__values") -> DataFrame:
+    """All columns of docs, with text pseudonymised, plus the kinds of replaced values in a column
+    called `values` (with underscores after it where docs has such a column)."""
+    m, p = _free("__m", docs.columns), _free("__p", docs.columns)
     text = F.col("text").cast("string")
-    marked = docs.withColumn("text", text).withColumn("__m", F.when(text.rlike(_TRIGGER), F.expr(f"regexp_extract_all(text, {_lit(_ANY)}, 0)")).otherwise(F.array().cast("array<string>")))
+    marked = docs.withColumn("text", text).withColumn(m, F.when(text.rlike(_TRIGGER), F.expr(f"regexp_extract_all(text, {_lit(_ANY)}, 0)")).otherwise(F.array().cast("array<string>")))
     cases = " ".join(f"when k = '{k}' then {pseudonym('m', k, key)}" for k in PATTERNS)
-    made = marked.withColumn("__p", F.expr(f"transform(__m, m -> {_let('k', _kind('m'), f'named_struct({_lit('k')}, k, {_lit('m')}, m, {_lit('p')}, case {cases} end)')})"))
-    pieces = f"zip_with(split(text, {_lit(_ANY)}, -1), array_append(transform(__p, x -> x.p), ''), (a, b) -> concat(a, b))"
-    made = made.withColumn("text", F.expr(f"if(size(__m) = 0, text, array_join({pieces}, ''))"))
-    return made.withColumn("__values", F.expr("transform(filter(__p, x -> x.p <> x.m), x -> x.k)")).drop("__m", "__p")
+    made = marked.withColumn(p, F.expr(f"transform({m}, m -> {_let('k', _kind('m'), f'named_struct({_lit('k')}, k, {_lit('m')}, m, {_lit('p')}, case {cases} end)')})"))
+    pieces = f"zip_with(split(text, {_lit(_ANY)}, -1), array_append(transform({p}, x -> x.p), ''), (a, b) -> concat(a, b))"
+    made = made.withColumn("text", F.expr(f"if(size({m}) = 0, text, array_join({pieces}, ''))"))
+    return made.withColumn(_free(values, docs.columns), F.expr(f"transform(filter({p}, x -> x.p <> x.m), x -> x.k)")).drop(m, p)
 
 
+#: Used where spark.ringloom.pii.key is not set: for tests only, as anyone can undo it.
 KEY = "ringloom"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The secret of the permutation, from the session's setting spark.ringloom.pii.key."""
+    return spark.conf.get("spark.ringloom.pii.key", KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, n_values, kinds (sorted, distinct). Other columns are
-    not looked at. key: the secret of the permutation; give your own."""
-    out = pseudonymised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
+    not looked at. key: the secret of the permutation; else the session's."""
+    out = pseudonymised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key or key_of(docs.sparkSession))
     return out.select("doc_id", "text", F.size("__values").cast("long").alias("n_values"), F.array_sort(F.array_distinct("__values")).alias("kinds"))
 
 

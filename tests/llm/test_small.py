@@ -344,3 +344,30 @@ def test_pipeline_stages_chain(spark):
                 again[r.n_chars == len(r.text)] += 1
             assert again[False] == 0
     assert docs.where("round_trip").count() == before
+
+
+# names, repeats and empty tables
+
+
+def test_pii_keeps_columns_area_codes_and_the_key_of_the_session(spark):
+    rows = [(i, f"call {2 + i % 8}{i % 10}{i * 7 % 10}-{100 + i}-{1000 + i} or +1 ({2 + i % 8}{i % 10}{i * 7 % 10}) {100 + i}-{1000 + i}", "m", "p", "v") for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, __m string, __p string, __values string")
+    out = pii.pseudonymised(df, "k")
+    assert out.columns == [*df.columns, "__values_"]
+    got = out.collect()
+    assert all((r["__m"], r["__p"], r["__values"]) == ("m", "p", "v") and r["__values_"] == ["phone", "phone"] for r in got)
+    pairs = [re.sub(r"[^0-9+]", "", r.text.replace("call", "").replace("or", ",").split(",")[0]) + " " + re.sub(r"[^0-9]", "", r.text.split("+1")[1]) for r in got]
+    assert all(a == b and a[0] in "23456789" for a, b in (x.split() for x in pairs)) and len(set(pairs)) == 300
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+    plain = pii.pseudonymise(df.limit(1)).first().text
+    spark.conf.set("spark.ringloom.pii.key", "other")
+    assert pii.pseudonymise(df.limit(1)).first().text != plain
+    spark.conf.unset("spark.ringloom.pii.key")
+
+
+def test_pieces_refuse_clashing_columns_and_take_empty_tables(spark, frame):
+    assert pieces.encoded(frame([]), pieces.model_path()).count() == 0
+    with pytest.raises(ValueError):
+        pieces.encoded(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_ids int"), pieces.model_path(), ["n_ids"])
+    twice = pieces.encoded(frame([(1, "a b"), (1, "a b"), (None, "c" * 5000)]), pieces.model_path()).collect()
+    assert len(twice) == 3 and all(r.round_trip for r in twice)
