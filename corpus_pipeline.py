@@ -31,7 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: values are replaced in the text, and n_chars is counted anew."""
-    out = pii.pseudonymised(docs, pii.KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = pii.pseudonymised(docs, pii.key_of(spark)).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(docs.columns)
 
 
