@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff, decontaminate, jaccard, phrases, pieces, pii, quality, suffixes, urls, wavelet
+from . import backoff, decontaminate, jaccard, oracles, phrases, pieces, pii, quality, suffixes, urls, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_list_join": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_url_list_join": urls.ORACLE, "op10_suffix_dedup": oracles.OP10}
