@@ -42,11 +42,13 @@ class Tracker:
         self.next_id += events.where("event in ('born', 'split')").count()
         return events.withColumn("night", F.lit(night))
 
-    def as_stream(self, stream: DataFrame, sink: Callable[[DataFrame], None]):
-        """Start a query over a stream of (night, ring_id, user_id), a night or more per batch."""
+    def as_stream(self, stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str | None = None):
+        """Start a query over a stream of (night, ring_id, user_id), a night or more per batch.
+        checkpoint: the shared folder that says which nights are done."""
 
         def step(batch: DataFrame, _: int) -> None:
             for r in batch.select("night").distinct().orderBy("night").collect():
                 sink(self.observe(r.night, batch.where(F.col("night") == r.night)))
 
-        return stream.writeStream.foreachBatch(step).start()
+        writer = stream.writeStream.foreachBatch(step)
+        return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
