@@ -297,7 +297,7 @@ def _pass(pieces: DataFrame, kind: Kind, k: int, heavy: int) -> tuple[DataFrame,
     one = F.lit(1).cast("long")
     parted = routed.join(size, "route", "left").withColumn("m", F.coalesce("m", one)) if several else routed.withColumn("m", one)
     places = parted.groupBy(*key).agg(F.collect_list(F.struct("anchor", "route", "m")).alias("p"))
-    cols = pieces.join(places, key).select("doc_id", "copy", "base", "raw", *(F.col(f"p.{c}") for c in ("anchor", "route", "m")))
+    cols = pieces.join(places.hint("merge"), key).select("doc_id", "copy", "base", "raw", *(F.col(f"p.{c}") for c in ("anchor", "route", "m")))
     segments = cols.mapInArrow(_cut_segments(kind, k), "route long, part long, more boolean, doc_id long, copy int, start long, end long, segment binary")
     found = segments.repartition("route", "part").sortWithinPartitions("route", "part").mapInArrow(_shards(kind), "doc_id long, copy int, start long, end long, raw binary")
     found = cut(found)
@@ -335,7 +335,8 @@ def apply(docs: DataFrame, kind: Kind, finish: Callable, schema: str, heavy: int
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
-    cols = docs.join(spans, ["doc_id", "copy"], "left").select("doc_id", "raw", "starts", "ends")
+    # spans grow with the documents: the same join at every size
+    cols = docs.join(spans.hint("merge"), ["doc_id", "copy"], "left").select("doc_id", "raw", "starts", "ends")
 
     def run(batches):
         def made():
