@@ -69,6 +69,41 @@ def test_rings_do_not_depend_on_the_size_switch(spark, made, lam, k_max):
         assert set(a.user_id) == set(b.user_id) and a.density.max() == pytest.approx(b.density.max())
 
 
+@pytest.mark.parametrize("made,lam,k_max", [(blob_graph, 0.0, 500), (hub_graph, 1.0, 40)])
+def test_a_kernel_that_cuts_cores_finds_the_rings_of_the_whole_graph(made, lam, k_max):
+    edges, scores = made()
+    ids = np.array(sorted(scores))
+    a, b = (np.searchsorted(ids, [p[i] for p in sorted(edges)]) for i in (0, 1))
+    w, mass = np.array([edges[p] for p in sorted(edges)]), lam * np.array([scores[v] for v in ids])
+    whole, cored = (peel.top_rings(ids, a, b, w, mass, 5, k_max, 4, few=few).reset_index(drop=True) for few in (200_000, 0))
+    pd.testing.assert_frame_equal(whole, cored)
+    assert whole.ring_id.max() >= 2
+
+
+@pytest.mark.parametrize("pinned", [None, 3])
+def test_peel_order_is_that_of_the_least_contribution(pinned):
+    edges, scores = hub_graph()
+    n = max(scores) + 1
+    gain, near, left = {v: scores.get(v, 0.0) for v in range(n)}, {v: [] for v in range(n)}, n
+    for (a, b), w in edges.items():
+        near[a].append((b, w))
+        near[b].append((a, w))
+        gain[a] += w
+        gain[b] += w
+    want = []
+    while left > 1:
+        v = min((v for v in gain if v != pinned), key=lambda v: (gain[v], v))
+        want.append(v)
+        left -= 1
+        del gain[v]
+        for u, w in near[v]:
+            if u in gain:
+                gain[u] -= w
+    ends = np.array(list(edges))
+    order, values = peel.peel_order(n, ends[:, 0], ends[:, 1], np.array(list(edges.values())), np.array([scores.get(v, 0.0) for v in range(n)]), pinned)
+    assert order == want and len(values) == n
+
+
 def test_exact_peel_density_is_that_of_its_set():
     rng = np.random.default_rng(1)
     n = 30
@@ -343,6 +378,17 @@ def test_query_equals_sql(spark, duck, name):
 # queries over all accounts and rings, without SQL
 
 
+def test_peeled_rings_are_found_once_and_on_the_pruned_graph(spark):
+    """What is returned reads written rings, not the orders; pairs are made among live accounts only, with the whole graph's weights."""
+    from ringloom.plans import ring_queries
+
+    assert "l_partkey" not in ring_queries._peeled(spark, SF, "late")._jdf.queryExecution().optimizedPlan().toString()
+    live = ring_queries._accounts(spark, SF).where("score > 0.5")
+    o = ring_queries.adapter.orders(spark, SF)
+    rows = lambda df: sorted((r.src, r.dst, round(r.weight, 4), r.relation_mask, r.min_entity_size) for r in df.collect())
+    assert rows(graph.build_graph(o, among=live)) == rows(graph.prune(graph.build_graph(o), live, 0.5))
+
+
 def test_nights_and_hostels_use_all_peeled_rings(spark):
     from ringloom.plans import ring_queries
 
