@@ -378,6 +378,22 @@ def test_query_equals_sql(spark, duck, name):
 # queries over all accounts and rings, without SQL
 
 
+def test_evidence_of_overlapping_rings_equals_brute_force(spark):
+    """Forty rings of 3 to 16 of thirty accounts, several passes; of the entities that an account has alone only the first are laid out."""
+    rng = random.Random(4)
+    o = pd.DataFrame([(v, rng.randrange(90), v * 100 + i, rng.randrange(40), rng.randrange(12), rng.randrange(400)) for v in range(30) for i in range(20)], columns=["user_id", "r1", "r3", "r6", "r7", "r8"])
+    m = {k: rng.sample(range(30), 3 + k % 14) for k in range(40)}
+    got = rings.evidence(spark.createDataFrame([(k, v) for k, vs in m.items() for v in vs], "ring_id long, user_id long"), spark.createDataFrame(o), platform=0.5, top=5)
+    has = {(b, r, e): set(g.user_id) for b, r in enumerate(("r1", "r3", "r6", "r7", "r8")) for e, g in o.groupby(r)}
+    want = set()
+    for k, vs in m.items():
+        x = [(round(users / len(vs), 4), round(1 / np.log(2 + len(who)), 4), b, r, e, users, len(who)) for (b, r, e), who in has.items() if (users := len(who & set(vs))) / len(vs) >= 0.15 and len(who) <= 15]
+        x.sort(key=lambda t: (-round(t[0] * t[1], 9), t[2], t[4]))
+        want |= {(k, t[3], t[4], t[5], t[6], i) for i, t in enumerate(x[:5], 1)}
+    assert {(r.ring_id, r.rel, r.entity, r.users, r.global_users, r.place) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_peeled_rings_are_found_once_and_on_the_pruned_graph(spark):
     """What is returned reads written rings, not the orders; pairs are made among live accounts only, with the whole graph's weights."""
     from ringloom.plans import ring_queries
