@@ -378,6 +378,18 @@ def test_query_equals_sql(spark, duck, name):
 # queries over all accounts and rings, without SQL
 
 
+def test_pairs_are_dealt_by_their_first_account_in_lists(spark):
+    """Edges equal those of single pairs, and no exchange is by pair: what is shuffled for them is a list an entity and account."""
+    from ringloom.plans import ring_queries
+
+    cap = graph.capped(graph.members(ring_queries.adapter.orders(spark, SF)))
+    alphas = spark.createDataFrame([("r1", 2.0), ("r6", 0.5)], "rel string, alpha double")
+    rows = lambda df: sorted((r.src, r.dst, round(r.weight, 4), r.n_relations, r.relation_mask, r.min_entity_size) for r in df.collect())
+    assert rows(graph.fold_edges(cap, alphas)) == rows(graph.aggregate_edges(graph.relation_pairs(cap), alphas))
+    plan = graph.fold_edges(cap)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(src#" in line and ", dst#" in line.split("hashpartitioning")[1]]
+
+
 def test_evidence_of_overlapping_rings_equals_brute_force(spark):
     """Forty rings of 3 to 16 of thirty accounts, several passes; of the entities that an account has alone only the first are laid out."""
     rng = random.Random(4)
