@@ -274,6 +274,13 @@ def test_propagation_equals_direct_solve(spark):
         iterate.propagation_constants(0.5)
 
 
+def test_terms_broadcast_or_joined_give_the_same_beliefs(spark):
+    e = spark.createDataFrame([(i, (i * 7 + k) % 50, 0.1 * k) for i in range(50) for k in (1, 2, 3) if i < (i * 7 + k) % 50], "src long, dst long, weight float")
+    prior = spark.createDataFrame([(i, 0.01 * (i % 3 - 1)) for i in range(50)], "user_id long, phi double")
+    sent, joined = (iterate.propagate(e, prior, 0.02, rounds=4, sent=n).toPandas().sort_values("user_id").belief.to_numpy() for n in (1000, 0))
+    assert np.allclose(sent, joined, atol=1e-14) and len(set(sent.round(9))) > 3
+
+
 # tracking, cards, stress, sources
 
 
