@@ -397,6 +397,43 @@ def test_pairs_are_dealt_by_their_first_account_in_lists(spark):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(src#" in line and ", dst#" in line.split("hashpartitioning")[1]]
 
 
+def test_packed_graph_equals_joined_pairs(spark):
+    """Accounts far apart, negative and repeated, null entities, factors, accounts to leave out, rings in several blocks; what is dealt
+    out are blocks, not pairs."""
+    rng = random.Random(8)
+    ids = [rng.randrange(-(2**40), 2**40) if v % 5 else v for v in range(120)]
+    o = spark.createDataFrame([(rng.choice(ids), *(rng.randrange(-3, 9 * 4**i) if rng.random() < 0.8 else None for i in range(5))) for _ in range(2500)], "user_id long, r1 long, r3 long, r6 long, r7 long, r8 long")
+    alphas = spark.createDataFrame([("r3", 2.5), ("r8", 0.3)], "rel string, alpha double")
+    live = spark.createDataFrame([(v,) for v in ids[::2]], "user_id long")
+    cap = graph.capped(graph.members(o), 30)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = graph.aggregate_edges(graph.relation_pairs(cap)).withColumn("weight", F.round("weight", 5)).cache()
+    got = lambda **k: graph.build_graph(o, 30, **k).withColumn("weight", F.round("weight", 5))
+    assert want.count() > 300 and rows(got()) == rows(want) and rows(got(among=live)) == rows(graph.induced(want, live))
+    assert rows(got(alphas=alphas)) == rows(graph.aggregate_edges(graph.relation_pairs(cap), alphas).withColumn("weight", F.round("weight", 5)))
+    m = spark.createDataFrame([(k, v) for k in range(40) for v in rng.sample(ids, 3 + k % 20)], "ring_id long, user_id long").repartition(4)
+    totals = graph.inner_edges(want, m).groupBy("ring_id").agg(F.count("*").alias("pairs"), F.sum(F.col("weight").cast("double")).alias("weight"), F.bit_count(F.bit_or("relation_mask")).alias("k"), F.min("min_entity_size").alias("least"), F.avg((F.col("min_entity_size") <= 10).cast("double")).alias("rare"))
+    got = graph.ring_totals(graph.account_tails(o, 30), m, 10)
+    for a, b in zip(rows(got), rows(totals), strict=True):
+        assert a == pytest.approx(b, abs=1e-3)
+    for df in (got, graph.build_graph(o, 30)):
+        dealt = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
+        assert dealt and all("(slot#" in line or "(ring_id#" in line for line in dealt)
+    empty = o.limit(0)
+    assert graph.build_graph(empty).isEmpty() and graph.ring_totals(graph.account_tails(empty), m).isEmpty()
+
+
+def test_ring_days_in_passes(spark):
+    rng = random.Random(9)
+    o = pd.DataFrame([(rng.randrange(20), rng.randrange(12), rng.choice([1.0, np.nan])) for _ in range(150)], columns=["user_id", "day_ordinal", "r6"])
+    m = pd.DataFrame([(k, v) for k in range(50) for v in rng.sample(range(25), 9)], columns=["ring_id", "user_id"])
+    d = m.merge(o, on="user_id").groupby(["ring_id", "day_ordinal"]).agg(k=("user_id", "size"), p=("r6", "count")).reset_index()
+    want = {r: (g.k.sum(), g.p.sum(), g.k.max(), g.day_ordinal.min(), g.day_ordinal.max(), len(g)) for r, g in d.groupby("ring_id")}
+    orders = spark.createDataFrame(o.astype({"r6": object}).where(o.notna(), None), "user_id long, day_ordinal long, r6 double")
+    got = rings.ring_days(spark.createDataFrame(m), orders)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want and got._jdf.queryExecution().optimizedPlan().toString().count("Relation") > 1
+
+
 def test_evidence_of_overlapping_rings_equals_brute_force(spark):
     """Forty rings of 3 to 16 of thirty accounts, several passes; of the entities that an account has alone only the first are laid out."""
     rng = random.Random(4)
