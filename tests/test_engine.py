@@ -461,6 +461,16 @@ def test_peeled_rings_are_found_once_and_on_the_pruned_graph(spark):
     assert rows(graph.build_graph(o, among=live)) == rows(graph.prune(graph.build_graph(o), live, 0.5))
 
 
+def test_both_halves_are_peeled_at_once(spark, monkeypatch):
+    import threading
+
+    from ringloom.plans import ring_queries
+
+    both = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(ring_queries, "_peeled", lambda s, d, half: (both.wait(), s.createDataFrame([(1, v) for v in range(5)], "ring_id long, user_id long"))[1])
+    assert [tuple(r) for r in ring_queries.night_similarity(spark, SF).collect()] == [(1, 1, 5, 1.0)]
+
+
 def test_nights_and_hostels_use_all_peeled_rings(spark):
     from ringloom.plans import ring_queries
 
