@@ -250,7 +250,9 @@ def test_cores_and_components(spark):
     rng = random.Random(3)
     pairs = sorted({(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(70)) if a < b}) + [(50, 51), (51, 52), (52, 53), (53, 54)]
     e = spark.createDataFrame(pairs, "src long, dst long")
-    assert {r.user_id: r.core_number for r in iterate.core_numbers(e).collect()} == naive_cores(pairs, 60)
+    twice = e.union(e.select("dst", "src"))
+    for df, small in ((e, 30_000_000), (twice, 30_000_000), (twice, 0)):
+        assert {r.user_id: r.core_number for r in iterate.core_numbers(df, small=small).collect()} == naive_cores(pairs, 60)
     root = {v: v for p in pairs for v in p}
     for _ in range(60):
         for a, b in pairs:
