@@ -463,6 +463,10 @@ def test_peeled_rings_are_found_once_and_on_the_pruned_graph(spark):
     assert rows(graph.build_graph(o, among=live)) == rows(graph.prune(graph.build_graph(o), live, 0.5))
 
 
+def test_decisions_read_the_queue_once_made(spark):
+    assert "l_orderkey" not in registry.QUERIES["review_decisions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_both_halves_are_peeled_at_once(spark, monkeypatch):
     import threading
 
