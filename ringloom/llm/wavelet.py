@@ -11,8 +11,8 @@ Documents are dealt by ranges of doc_id and sorted, so shards follow one another
 Shards are cut at `shard` tokens, at ends of documents, so memory doesn't depend on the
 number of documents in a task; one long document is never cut.
 
-Texts are encoded a word at a time, with a bounded memory of words: the
-tokenizer's normaliser and splitter treat each stretch between ASCII white space by
+Texts are encoded a word at a time, each distinct word of about 4 MB of texts once, with a bounded memory
+of words: the tokenizer's normaliser and splitter treat each stretch between ASCII white space by
 itself, so the ids are those of the whole text.
 
 Null texts are empty and get END alone; an empty table gives no files and no rows. Null ids
@@ -27,8 +27,6 @@ import os
 import re
 import struct
 import zlib
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import _PLACE, _SPACE, cut, scramble, slices, table
 
 END = 1
 MAGIC = b"RLWM2\0"
@@ -50,7 +48,13 @@ _HEAD = "<6sBQQQ"
 #: for visible Latin-1 characters, letters and numbers written out.
 _SIMPLE = re.compile(r"[!-~\xa1-\xff]+").fullmatch
 _LETTERS, _NUMBERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+").findall
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS} ]+| ").findall
+#: Not an id: between the words that are cut into pieces.
+_GAP = b"\xff" * 4
+#: Characters from U+0100 on, in UTF-8.
+_MARKS = re.compile(rb"[\xc4-\xff]").search
+#: Masks of the first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 class WordEncoder:
@@ -78,22 +82,22 @@ class WordEncoder:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _cut(self, between: str, new: list, text: list[str], out: dict) -> None:
-        """out[key] = ids of the key's text, sixteen at once; between parts them, and is marked by
+        """out[key] = ids of the key's text, many at once; between parts them, and is marked by
         the id that ends each (or stands between each two, where it is a special token)."""
         special = between != " "
-        for i in range(0, len(new), 16):
-            ids = self.ids(between.join(text[i : i + 16]))
+        for i in range(0, len(new), 128):
+            ids = self.ids(between.join(text[i : i + 128]))
             raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark if special else self.ends[ids])).tolist()
             begins, stops = ([0, *(x + 4 for x in at)], [*at, len(raw)]) if special else ([0, *(x + 4 for x in at)][:-1], [x + 4 for x in at])
-            if len(stops) != len(new[i : i + 16]):
+            if len(stops) != len(new[i : i + 128]):
                 raise ValueError("the tokenizer's file doesn't split words as expected")
-            out.update(zip(new[i : i + 16], (raw[a:z] for a, z in zip(begins, stops))))
+            out.update(zip(new[i : i + 128], (raw[a:z] for a, z in zip(begins, stops))))
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         known, older, pieces = self.known, self.older, self.pieces
         if len(pieces) > self.limit:
             pieces.clear()
-        split, rest = [], []
+        simple, texts, rest = [], [], []
         for w in new:
             got = older.get(w)
             if got is not None:
@@ -103,28 +107,69 @@ class WordEncoder:
             if "<|" in t:
                 known[w] = self.ids(t).tobytes()
             elif _SIMPLE(t):
-                split.append((w, _PIECES(t.lower())))
+                simple.append(w)
+                texts.append(t)
             else:
                 rest.append((w, t))
-        unseen = list({p for _, ps in split for p in ps if p not in pieces})
-        self._cut(" ", unseen, unseen, pieces)
-        known.update((w, b"".join([pieces[p] for p in ps])) for w, ps in split)
+        if simple:
+            flat = _PIECES(" ".join(texts).lower())
+            unseen = list(set(flat) - pieces.keys() - {" "})
+            self._cut(" ", unseen, unseen, pieces)
+            pieces[" "] = _GAP
+            raw = b"".join(map(pieces.__getitem__, flat))
+            at = (4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == np.frombuffer(_GAP, np.uint32))).tolist()
+            known.update(zip(simple, (raw[a:z] for a, z in zip([0, *(x + 4 for x in at)], [*at, len(raw)]))))
         self._cut(BETWEEN.decode(), [w for w, _ in rest], [t for _, t in rest], known)
 
     def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[bytes]:
-        """ids of each of texts (UTF-8), with `end` after them, as 32-bit numbers."""
-        words = [(t or b"").split() for t in texts]
+        """ids of each of texts (UTF-8), with `end` after them, as 32-bit numbers. A word that
+        comes again in them is looked up once."""
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        known = self.known
-        found = [list(map(known.get, ws)) for ws in words]
-        new: set[bytes] = set()
-        for ws, ids in zip(words, found):
-            if None in ids:
-                new.update(compress(ws, map(not_, ids)))
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws) if None in ids else ids) + end for ws, ids in zip(words, found)]
+        texts = [t or b"" for t in texts]
+        # what is lower-cased anyway is so at once, but where a letter and a mark after it may be one character
+        data = b"\n".join([b"", *(t if _MARKS(t) or b"<|" in t else t.lower() for t in texts), b""])
+        begin, stop, code, first = distinct_words(data)
+        words = [data[a:z] for a, z in zip(begin[first].tolist(), stop[first].tolist())]
+        got = list(map(self.known.get, words))
+        if None in got:
+            self._learn([w for w, ids in zip(words, got) if ids is None])
+            got = list(map(self.known.__getitem__, words))
+        flat, n = np.frombuffer(b"".join(got), np.uint32), np.array([len(x) for x in got], np.int64) // 4
+        at, k = (np.cumsum(n) - n)[code], n[code]
+        upto = np.concatenate([[0], np.cumsum(k)])
+        raw = flat[np.repeat(at - upto[:-1], k) + np.arange(upto[-1])].tobytes()
+        ends = (4 * upto[np.searchsorted(begin, np.cumsum([1 + len(t) for t in texts]))]).tolist()
+        return [raw[a:z] + end for a, z in zip([0, *ends], ends)]
+
+
+def distinct_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data, which begins and ends with white space -> where each word begins and ends, its number among the
+    distinct words, and the place of one of each. Words of up to 64 bytes are told apart by 64-bit hashes of their
+    bytes and length, which meet only by chance; a longer one is a distinct word each time."""
+    bytes_ = np.frombuffer(data, np.uint8)
+    space = _SPACE[bytes_]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, stop = edge[::2], edge[1::2]
+    size = stop - begin
+    padded = np.concatenate([bytes_, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(), (len(bytes_), 8), (1, 1))
+
+    def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at].view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
+
+    h = scramble(part(begin, size) + size.astype(np.uint64) * _PLACE)
+    for k in range(8, 64, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = scramble(h[more] * _PLACE + part(begin[more] + k, size[more] - k))
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (size[order][1:] > 64)
+    code = np.empty(len(h), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return begin, stop, code, order[new]
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -305,8 +350,8 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, shard: i
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n_docs", "n_tokens", "file"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                doc_ids, texts = b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).cast(pa.binary()).to_pylist()
+            for i, _, many in slices(b.column(1), 4_000_000):
+                doc_ids, texts = b.column(0).slice(i, len(many)).to_pylist(), b.column(1).slice(i, len(many)).cast(pa.large_binary()).to_pylist()
                 for d, e in zip(doc_ids, encoder.encode(texts, end)):
                     ids.append(d)
                     tokens.append(e)
