@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,19 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most `most` rows in what runs meanwhile. A batch lies outside the JVM's heap, and
+    twice while it grows: 10,000 texts or sets, Spark's default, are hundreds of MB for two tasks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, most) if before > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() made and nothing needs any more."""
     for t in tables:

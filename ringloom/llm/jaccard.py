@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, gram_hashes, scramble, signed, table, text_words
+from .common import arrow_rows, components, cut, drop, gram_hashes, scramble, signed, table, text_words
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -77,6 +77,29 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens array<long>")
 
 
+#: What a token is mixed with under each of the two random orders.
+_SEEDS = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
+
+
+def _fronts(lists: DataFrame) -> DataFrame:
+    """lists(doc_id, length, shared: (df, token) pairs) -> doc_id, p0, p1: the first `length` tokens under
+    each random order. Sorted in arrays: as sorted lists of rows they filled the executors' memory."""
+
+    def run(batches):
+        for b in batches:
+            shared, lengths = b.column(2), b.column(1).to_numpy()
+            ends = shared.offsets.to_numpy()
+            df, token = (shared.values.field(i).to_numpy() for i in (0, 1))
+            token = token.view(np.uint64)
+            out: tuple = ([], [])
+            for a, z, k in zip(ends[:-1].tolist(), ends[1:].tolist(), lengths.tolist()):
+                for seed, to in zip(_SEEDS, out):
+                    to.append(token[a:z][np.lexsort((scramble(token[a:z] ^ seed), df[a:z]))[:k]])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(_lists, out)], ["doc_id", "p0", "p1"])
+
+    return lists.mapInArrow(run, "doc_id long, p0 array<long>, p1 array<long>")
+
+
 def _connected(sets: DataFrame, column: str) -> DataFrame:
     """Documents that share a token of the column, connected: (doc_id, c). Others are left out."""
     tokens = sets.select("doc_id", F.explode(column).alias("token"))
@@ -142,6 +165,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, block: int = 3_
     doc_id, component_id the smallest id reachable over links of Jaccard t% or more between
     sets of k-word shingles. block: tokens that one task holds of a class, twice at most.
     Other columns are not looked at."""
+    with arrow_rows(docs.sparkSession, 1_000):
+        return _components(docs, k, t, block)
+
+
+def _components(docs: DataFrame, k: int, t: int, block: int) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     look = cut(_first_look(docs, k, max(1, 60 // (100 - t)) if t < 100 else 60))
     alone = look.select("doc_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
@@ -157,8 +185,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, block: int = 3_
     front = tokens.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     front = front.join(sets.select("doc_id", F.size("tokens").cast("long").alias("n")), "doc_id")
     length = _prefix(F.col("n"), t) - (F.col("n") - F.size("shared"))
-    orders = {f"p{j}": F.expr(f"transform(slice(array_sort(transform(shared, x -> struct(x.df, xxhash64(x.token, {j}) as h, x.token))), 1, cast(length as int)), x -> x.token)") for j in (0, 1)}
-    front = cut(front.withColumn("length", length).where("length > 0").select("doc_id", *(v.alias(c) for c, v in orders.items())))
+    front = cut(_fronts(front.withColumn("length", length).where("length > 0").select("doc_id", "length", "shared")))
     classes = None
     for j in (0, 1):
         pool = front.select("doc_id", f"p{j}")
