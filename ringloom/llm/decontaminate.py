@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, rows, table
+from .common import arrow_rows, batches_of, cut, rows, table, thrifty
 
 _FOLD = bytes(32 if chr(b) in string.punctuation or b < 33 or b == 127 else b for b in range(256))
 
@@ -119,6 +119,7 @@ def _places(found, seeds: Seeds):
 def _scan(docs: DataFrame, seeds: Seeds) -> DataFrame:
     schema = pa.schema([("seed", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("seeds", pa.list_(pa.int32())), ("first", pa.int64()), ("words", pa.binary())])
 
+    @thrifty
     def run(batches):
         df: dict[int, int] = defaultdict(int)
 
@@ -173,7 +174,8 @@ _FOUND = "doc_id long, item_id long, score double, equal_words long, first_word
 
 def _block(docs: DataFrame, ids: list[int], items: list[list[bytes]], n: int, common: float, least: float) -> DataFrame:
     seeds = Seeds(items, n)
-    hits = cut(_scan(docs, seeds))
+    with arrow_rows(docs.sparkSession, 1_000):
+        hits = cut(_scan(docs, seeds))
     counted = {r.seed: r.n for r in hits.where("seed is not null").groupBy("seed").agg(F.sum("n").alias("n")).collect()}  # at most the block's seeds
     rare: list[frozenset[int]] = []
     for mine in seeds.seeds:
@@ -182,6 +184,7 @@ def _block(docs: DataFrame, ids: list[int], items: list[list[bytes]], n: int, co
         rare.append(frozenset(s for s, m in zip(mine, many) if m <= cap))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("equal_words", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
+    @thrifty
     def verify(batches):
         def found():
             for docs_, item, mine, first, words in rows(batches, "doc_id", "item", "seeds", "first", "words"):

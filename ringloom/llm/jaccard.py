@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, cut, drop, gram_hashes, scramble, signed, table, text_words
+from .common import arrow_rows, components, cut, drop, gram_hashes, scramble, signed, table, text_words, thrifty
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -52,6 +52,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _first_look(docs: DataFrame, k: int, share: int) -> DataFrame:
     """doc_id, n, fp (128 bits of the set), tokens: one in `share` of the hash space."""
 
+    @thrifty
     def run(batches):
         for b in batches:
             ids = b.column(0)
@@ -66,6 +67,7 @@ def _first_look(docs: DataFrame, k: int, share: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """docs(doc_id, text, fp) -> doc_id, tokens: the whole set, where it is the one of fp."""
 
+    @thrifty
     def run(batches):
         for b in batches:
             ids, fps = b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("fp")).to_pylist()
@@ -85,6 +87,7 @@ def _fronts(lists: DataFrame) -> DataFrame:
     """lists(doc_id, length, shared: (df, token) pairs) -> doc_id, p0, p1: the first `length` tokens under
     each random order. Sorted in arrays: as sorted lists of rows they filled the executors' memory."""
 
+    @thrifty
     def run(batches):
         for b in batches:
             shared, lengths = b.column(2), b.column(1).to_numpy()

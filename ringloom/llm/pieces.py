@@ -11,7 +11,7 @@ test holds against it, and a piece pair's test is a short merge, remembered.
 
 Characters without a piece become their UTF-8 bytes' pieces. No other piece crosses
 them, nor the place before a word's space mark, so each stretch in between is
-searched once and remembered in a bounded table.
+searched once and remembered in tables of a bounded number of stretches, of one long text as of many.
 
 Null texts have no ids, as empty ones. Rows stay one to one, ids null or not, repeated or not;
 an empty table gives an empty one. Kept columns must not be called as the result's own. A text of any
@@ -29,27 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows, table
+from .common import rows, table, thrifty
 
 MARK = "▁"
 
 
 class Memory(dict):
-    """Results by stretch, made where missing."""
+    """Results by stretch, made where missing: those of the last `limit` stretches new to it, and of as many before
+    them, which come back when asked for. So what is frequent stays, and 2 * limit are held at most."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make = make
+        self.make, self.limit, self.before = make, limit, {}
 
     def __missing__(self, key):
-        out = self[key] = self.make(key)
+        out = self.before.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
 
 class Pieces:
     """A BPE model's pieces, with encoding and decoding."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,10 +71,16 @@ class Pieces:
         # a piece that BPE doesn't give for its own text is never a result
         self.whole = {p: i for p, i in self.id.items() if self.merge(p) == [p]}
         self.longest = max(map(len, self.whole))
-        self.pairs: dict[int, bool] = {}
-        self.known = Memory(lambda w: self.word(MARK + w))  # words after a space
-        self.bare = Memory(self.word)
+        # lengths of the pieces that end with these three characters, or with fewer
+        ending: dict[str, set[int]] = {}
+        for p in self.whole:
+            ending.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {e: tuple(sorted({1, 2} | n, reverse=True)) for e, n in ending.items()}
+        self.letters = frozenset(p for p in self.id if len(p) == 1)
         self.limit = limit
+        self.pairs: dict[int, bool] = {}
+        self.known = Memory(lambda w: self.word(MARK + w), limit)  # words after a space
+        self.bare = Memory(self.word, limit)
         self.newline = array("i", [self.byte[10]]).tobytes() if 10 in self.byte and "\n" not in self.id else None
         # what each id stands for; a byte above ASCII needs its neighbours
         self.plain = ["" if self.value.get(i, 0) > 127 else chr(self.value[i]) if i in self.value else self.text.get(i, "").replace(MARK, " ") for i in range(size)]
@@ -91,7 +104,7 @@ class Pieces:
         """Whether BPE leaves piece b after piece a as they are."""
         known = self.pairs.get(a << 20 | b)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= 2 * self.limit:
                 self.pairs.clear()
             x, y = self.text[a], self.text[b]
             known = self.pairs[a << 20 | b] = self.merge(x + y) == [x, y]
@@ -101,23 +114,28 @@ class Pieces:
         """Ids of a stretch of characters that all have pieces, committed as soon as they are sure:
         a window of backpointers goes along, and when it is four times as long as the longest piece, the
         ids before the boundary on which all paths of its last positions converge leave it."""
-        get, known, most = self.whole.get, self.pairs.get, self.longest
+        get, known, possible, most = self.whole.get, self.pairs.get, self.lengths.get, self.longest
         last: list[int] = []  # the last piece of each prefix in the window
         lengths: list[int] = []
         base = 0  # where the window begins: all paths go through it
         root: int | None = None  # the piece that ends there
         for end in range(1, len(text) + 1):
-            for start in range(max(base, end - most), end):
+            for length in possible(text[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - length
+                if start < base:
+                    continue
                 piece = get(text[start:end])
                 if piece is None:
                     continue
-                before = root if start == base else last[start - base - 1]
+                before = last[start - base - 1] if start > base else root
                 if before is not None:
                     ok = known(before << 20 | piece)
-                    if not (self.follows(before, piece) if ok is None else ok):
+                    if ok is None:
+                        ok = self.follows(before, piece)
+                    if not ok:
                         continue
                 last.append(piece)
-                lengths.append(end - start)
+                lengths.append(length)
                 break
             else:
                 raise ValueError(f"no piece ends at {end} of {text!r}")
@@ -146,6 +164,8 @@ class Pieces:
 
     def word(self, text: str) -> bytes:
         """Ids of a stretch without a space mark inside, as 32-bit integers."""
+        if self.letters.issuperset(text):
+            return array("i", self.stream(text)).tobytes()
         out: list[int] = []
         begin = 0
         for i, c in enumerate(text):
@@ -162,9 +182,6 @@ class Pieces:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        for memory in (self.known, self.bare):
-            if len(memory) > self.limit:
-                memory.clear()
         if MARK in text or "  " in text or text[0] == " " or self.newline is None:
             text = MARK + text.replace(" ", MARK)
             return np.frombuffer(b"".join([self.bare[s] for s in re.findall(f"{MARK}+[^{MARK}]*", text)]), np.int32)
@@ -217,6 +234,7 @@ def encoded(docs: DataFrame, path: str, others: list[str] | None = None) -> Data
     if {"doc_id", "ids", "n_ids", "round_trip"} & set(others):
         raise ValueError("a kept column has the name of a result's column")
 
+    @thrifty
     def run(batches):
         pieces = loaded(path)
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, rows, table, words_of
+from .common import SPACES, rows, table, thrifty, words_of
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punctuation_share", "distinct_share", "line_share")
@@ -165,6 +165,7 @@ _STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def rule_statistics(docs: DataFrame) -> DataFrame:
     """Rule statistics and features of every whole text."""
 
+    @thrifty
     def run(batches):
         for ids, texts in rows(batches, "doc_id", "text"):
             made = [statistics(t) for t in texts]
@@ -225,14 +226,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) ->
     Only the first column named text is looked at."""
     forest = fit(docs, labels, max_labelled)
 
+    @thrifty
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            made = [statistics(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            kept = np.array([not base_failed(m[0][0], m[0][4]) for m in made])
-            if forest is not None and kept.any():
-                kept[kept] = forest.score(np.array([m[1] for m, k in zip(made, kept) if k], float)) < forest.threshold
-            yield b.filter(pa.array(kept))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                made = [statistics(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                kept = np.array([not base_failed(m[0][0], m[0][4]) for m in made])
+                if forest is not None and kept.any():
+                    kept[kept] = forest.score(np.array([m[1] for m, k in zip(made, kept) if k], float)) < forest.threshold
+                yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,11 +1,11 @@
-"""What keeps op5 within its memory."""
+"""What keeps op5, op9 and the pipeline within their memory."""
 
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ringloom.llm import common, jaccard
+from ringloom.llm import common, jaccard, pieces, quality
 
 from .helpers import corpus
 
@@ -31,3 +31,38 @@ def test_fronts_are_the_first_tokens_of_one_order(spark):
         assert all(got[i][j] == sorted((t for _, t in shared), key=key)[:k] for i, k, shared in rows)
     assert any(a != b for a, b in got.values())
     assert jaccard._fronts(lists.where(F.lit(False))).count() == 0
+
+
+def test_pieces_remember_a_bounded_number_of_stretches():
+    import sentencepiece
+
+    path = pieces.model_path()
+    mine, theirs = pieces.Pieces(path, 50), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh é漢́") for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    for text in (" ".join(words), "  ".join(words), "\n".join(words), "".join(words), words[0]):
+        assert mine.encode(text).tolist() == theirs.encode(text)
+        for memory in (mine.known, mine.bare):
+            assert len(memory) + len(memory.before) <= 100
+        assert len(mine.pairs) <= 100
+    made = []
+    memory = pieces.Memory(lambda k: made.append(k) or k, 2)
+    assert [memory[k] for k in "abcabca"] == list("abcabca") and made == list("abc")
+
+
+def test_functions_give_free_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "free_memory", lambda: freed.append(1))
+    run = common.thrifty(lambda batches: (b + 1 for b in batches))
+    assert list(run([1, 2])) == [2, 3] and freed == [1]
+    some = run([1, 2])
+    assert next(some) == 2
+    some.close()
+    assert freed == [1, 1]
+
+
+def test_quality_keeps_the_same_rows_of_batches_in_parts(spark, frame):
+    texts = [f"{'word ' * 70 if i % 3 else ''}" + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(2500)]
+    docs, labels = frame(list(enumerate(texts))).coalesce(1), spark.createDataFrame([], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality_rules(docs, labels).where("kept").collect()}
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == kept and 0 < len(kept) < 2500
