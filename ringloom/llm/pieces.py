@@ -36,7 +36,8 @@ MARK = "▁"
 
 class Memory(dict):
     """Results by stretch, made where missing: those of the last `limit` stretches new to it, and of as many before
-    them, which come back when asked for. So what is frequent stays, and 2 * limit are held at most."""
+    them, which come back when asked for. So what is frequent stays, and 2 * limit are held at most. make: gives
+    the result and whether to hold it."""
 
     def __init__(self, make, limit: int):
         super().__init__()
@@ -45,7 +46,9 @@ class Memory(dict):
     def __missing__(self, key):
         out = self.before.get(key)
         if out is None:
-            out = self.make(key)
+            out, hold = self.make(key)
+            if not hold:
+                return out
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()
@@ -56,7 +59,7 @@ class Memory(dict):
 class Pieces:
     """A BPE model's pieces, with encoding and decoding."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -77,10 +80,11 @@ class Pieces:
             ending.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {e: tuple(sorted({1, 2} | n, reverse=True)) for e, n in ending.items()}
         self.letters = frozenset(p for p in self.id if len(p) == 1)
+        self.joined = frozenset(p[i : i + 2] for p in self.id for i in range(len(p) - 1))
         self.limit = limit
         self.pairs: dict[int, bool] = {}
-        self.known = Memory(lambda w: self.word(MARK + w), limit)  # words after a space
-        self.bare = Memory(self.word, limit)
+        self.known = Memory(lambda w: self.made(MARK + w), limit)  # words after a space
+        self.bare = Memory(self.made, limit)
         self.newline = array("i", [self.byte[10]]).tobytes() if 10 in self.byte and "\n" not in self.id else None
         # what each id stands for; a byte above ASCII needs its neighbours
         self.plain = ["" if self.value.get(i, 0) > 127 else chr(self.value[i]) if i in self.value else self.text.get(i, "").replace(MARK, " ") for i in range(size)]
@@ -104,7 +108,7 @@ class Pieces:
         """Whether BPE leaves piece b after piece a as they are."""
         known = self.pairs.get(a << 20 | b)
         if known is None:
-            if len(self.pairs) >= 2 * self.limit:
+            if len(self.pairs) >= 3 * self.limit // 2:
                 self.pairs.clear()
             x, y = self.text[a], self.text[b]
             known = self.pairs[a << 20 | b] = self.merge(x + y) == [x, y]
@@ -162,6 +166,20 @@ class Pieces:
             at -= lengths[at - base - 1]
         yield from reversed(ids)
 
+    def made(self, text: str) -> tuple[bytes, bool]:
+        """Ids of a stretch without a space mark inside, as 32-bit integers, and whether to remember it: not if it is
+        long. Nothing is merged across two neighbours that no piece holds, as a word and its full stop: what lies between
+        such places is remembered apart, and the whole only if its head was known."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        if cuts:
+            head, bare = text[: cuts[0]], self.bare
+            memory, head = (self.known, head[1:]) if head[0] == MARK else (bare, head)
+            hold = head in memory and len(text) <= 100
+            cuts.append(len(text))
+            return memory[head] + b"".join([bare[text[a:b]] for a, b in zip(cuts, cuts[1:])]), hold
+        return self.word(text), len(text) <= 100
+
     def word(self, text: str) -> bytes:
         """Ids of a stretch without a space mark inside, as 32-bit integers."""
         if self.letters.issuperset(text):

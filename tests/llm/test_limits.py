@@ -40,14 +40,14 @@ def test_pieces_remember_a_bounded_number_of_stretches():
     mine, theirs = pieces.Pieces(path, 50), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh é漢́") for _ in range(rng.randint(1, 60))) for _ in range(1500)]
-    for text in (" ".join(words), "  ".join(words), "\n".join(words), "".join(words), words[0]):
+    for text in (" ".join(words), "  ".join(words), "\n".join(words), "".join(words), words[0], "a" * 9000, " ".join(f"{w}.,{w}$$$" for w in words), "x." * 300 + " x.\n x. é."):
         assert mine.encode(text).tolist() == theirs.encode(text)
         for memory in (mine.known, mine.bare):
             assert len(memory) + len(memory.before) <= 100
         assert len(mine.pairs) <= 100
     made = []
-    memory = pieces.Memory(lambda k: made.append(k) or k, 2)
-    assert [memory[k] for k in "abcabca"] == list("abcabca") and made == list("abc")
+    memory = pieces.Memory(lambda k: (made.append(k) or k, k != "x"), 2)
+    assert [memory[k] for k in "abxcxabca"] == list("abxcxabca") and made == list("abxcx")
 
 
 def test_functions_give_free_memory_back(monkeypatch):
