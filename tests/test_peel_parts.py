@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from ringloom.operators import peel
+from ringloom.operators import cases, peel
+from ringloom.plans import case_queries
+from ringloom.sources import adapter
+
+SF = "/root/testdata/sf0.001"
 
 
 def _graph(seed, sizes, copies):
@@ -43,3 +46,12 @@ def test_connected_counts_ends(spark):
     for most in (1, 100):
         got = peel.connected(e.repartition(3), most).orderBy("user_id").collect()
         assert [tuple(r) for r in got] == [(1, 1, 2), (2, 1, 2), (5, 1, 2), (7, 7, 1), (9, 7, 1)]
+
+
+def test_the_sweep_gets_edges_of_live_accounts_only(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(cases, "sweep", lambda edges, *_: got.append(edges) or spark.range(1))
+    case_queries.ring_sweep(spark, SF)
+    live = adapter.accounts(spark, SF).where("score > 0.3").select("user_id")
+    ends = got[0].selectExpr("explode(array(src, dst)) as user_id")
+    assert ends.count() and ends.join(live, "user_id", "left_anti").isEmpty()
