@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ringloom.operators import cases, peel
-from ringloom.plans import case_queries
+from ringloom.plans import case_queries, ring_queries
 from ringloom.sources import adapter
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,15 @@ def test_connected_counts_ends(spark):
         assert [tuple(r) for r in got] == [(1, 1, 2), (2, 1, 2), (5, 1, 2), (7, 7, 1), (9, 7, 1)]
 
 
+def test_the_queue_reads_orders_of_ring_members_only(spark, monkeypatch):
+    rings = spark.createDataFrame([(1, 4, 2.0), (1, 7, 2.0)], "ring_id long, user_id long, density double")
+    monkeypatch.setattr(ring_queries, "_peeled", lambda *_, **__: rings)
+    queue = ring_queries._queue(spark, SF)
+    assert queue._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    o = adapter.orders(spark, SF).where("user_id in (4, 7)")
+    assert [r.value_at_stake for r in queue.collect()] == [o.where("r6 is not null").count() * 100.0]
+
+
 def test_the_sweep_gets_edges_of_live_accounts_only(spark, monkeypatch):
     got = []
     monkeypatch.setattr(cases, "sweep", lambda edges, *_: got.append(edges) or spark.range(1))
