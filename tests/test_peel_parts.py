@@ -64,3 +64,11 @@ def test_the_sweep_gets_edges_of_live_accounts_only(spark, monkeypatch):
     live = adapter.accounts(spark, SF).where("score > 0.3").select("user_id")
     ends = got[0].selectExpr("explode(array(src, dst)) as user_id")
     assert ends.count() and ends.join(live, "user_id", "left_anti").isEmpty()
+
+
+def test_both_halves_read_orders_joined_once(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(ring_queries, "_peeled", lambda s, d, half: got.append(half) or s.createDataFrame([(1, 1)], "ring_id long, user_id long"))
+    ring_queries._halves(spark, SF)
+    assert sum(o.count() for o in got) == adapter.orders(spark, SF).count()
+    assert not any("l_orderkey" in o._jdf.queryExecution().optimizedPlan().toString() for o in got)
